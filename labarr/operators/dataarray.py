@@ -140,8 +140,7 @@ class DataArray:
                 df = df.filter(c == pick).drop(name)
             elif isinstance(pick, range):
                 if not covers(pick, n):
-                    low, high = (pick[0], pick[-1]) if pick.step > 0 else (pick[-1], pick[0])
-                    df = df.filter(c.between(low, high)) if len(pick) else df.filter(F.lit(False))
+                    df = df.filter(c.between(min(pick[0], pick[-1]), max(pick[0], pick[-1]))) if len(pick) else df.filter(F.lit(False))
                     moved = c - pick.start
                     if abs(pick.step) != 1:
                         df, moved = df.filter(F.pmod(moved, F.lit(abs(pick.step))) == 0), F.call_function("div", moved, F.lit(pick.step))

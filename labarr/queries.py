@@ -467,6 +467,37 @@ def embedding_mean(spark, sf_dir):
     return _cells(DataArray.from_cells(cells, ["vec", "component"], [n, 64]).mean("vec"), "component").withColumn("value", F.round("value", 6))
 
 
+def _stored(spark, sf_dir) -> Dataset:
+    """The quantity cube, written as Zarr in chunks of 16 months and opened again."""
+    import tempfile
+
+    from .sources.stores import DirectoryStore
+    from .sources.zarr import open_zarr, write_zarr
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    folder = tempfile.mkdtemp(prefix="cube-", dir=shared.removeprefix("file:") if shared.startswith(("file:", "/")) else None)
+    write_zarr(cube(spark, sf_dir)["quantity"], f"{folder}/quantity", (16, 3, 1), [{"name": "gzip", "configuration": {"level": 5}}])
+    return open_zarr(spark, DirectoryStore(folder))
+
+
+@query(f"SELECT i, j, k, coalesce(q, 'NaN'::DOUBLE) AS value FROM ({_CUBE_GRID})")
+def zarr_scan(spark, sf_dir):
+    return _cells(_stored(spark, sf_dir)["quantity"], "i", "j", "k")
+
+
+@query(f"SELECT i - 20 AS i, k, coalesce(q, 'NaN'::DOUBLE) AS value FROM ({_CUBE_GRID}) WHERE i BETWEEN 20 AND 40 AND j = 1")
+def zarr_pruned(spark, sf_dir):
+    return _cells(_stored(spark, sf_dir)["quantity"].isel({"month": slice(20, 41), "flag": 1}), "i", "k")
+
+
+@query("SELECT l_orderkey, l_linenumber, ((l_orderkey % 100) * 8 + l_linenumber) // 6 AS shard, ((l_orderkey % 100) * 8 + l_linenumber) % 6 AS slot FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+def shard_locate(spark, sf_dir):
+    """Shard and slot of chunk (orderkey mod 100, linenumber) of a 100 x 8 grid, 6 chunks a shard."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    at = F.col("l_orderkey") % 100 * 8 + F.col("l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", F.floor(at / 6).alias("shard"), (at % 6).alias("slot"))
+
+
 @query(f"SELECT {_text_day('d')} AS day, round(CASE WHEN count(v) OVER w >= 7 THEN avg(v) OVER w END, 4) AS value FROM ({_DAILY}) WHERE event_type = 'purchase' WINDOW w AS (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")
 def weekly_purchases(spark, sf_dir):
     """The flagship: table to array, selection, rolling mean, records."""
