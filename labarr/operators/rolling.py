@@ -45,12 +45,12 @@ class Rolling:
         number = exprs.number(F.col("value"), a.dtype) if exprs.kind(a.dtype) == "number" else F.lit(None).cast("double")
         df = a.cells.withColumn("__x", exprs.present(number))
         size, blocked = a.shape[a.dims.index(self.dim)], False
-        if size > 2 * BLOCK and self.window <= BLOCK:
+        if size > BLOCK and self.window <= BLOCK:
             df, blocked = _blocks(df, at, before, after), True
         keys = [F.col(f"`{c}`") for c in lanes] + ([F.col("__block")] if blocked else [])
         # an array that is one short lane has one window partition
         lane = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(f"`{at}`"))
-        if self.window >= RUNNING:
+        if self.window >= RUNNING and (blocked or size < 1 << _BITS):
             df, total, n = _running(df, lane, keys, before, after)
         else:
             frame = lane.rowsBetween(-before, after)
@@ -70,22 +70,28 @@ def _blocks(df: DataFrame, at: str, before: int, after: int) -> DataFrame:
     return df.withColumn("__own", own).withColumn("__block", F.explode(to)).withColumn("__home", F.col("__block") == F.col("__own"))
 
 
+#: Bits of each count that are kept together in one running sum.
+_BITS = 20
+
+
 def _running(df: DataFrame, lane, keys: list[Column], before: int, after: int) -> tuple[DataFrame, Column, Column]:
-    """Window sums as differences of running sums; infinities are counted apart, as they
-    would not cancel. Differences may lose the last bits of a sum."""
+    """Window sums as differences of running sums. Infinities would not cancel: they are
+    counted apart, with the counts of cells, in one whole number. Differences may lose
+    the last bits of a sum. A lane (or block with its rim) is shorter than 2^20 cells."""
     so_far, whole = lane.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*(keys or [F.lit(0)]))
-    inf = float("inf")
-    parts = {"__f": F.when(F.abs("__x") != inf, F.col("__x")).otherwise(F.when(F.col("__x").isNotNull(), 0.0)), "__c": F.col("__x").isNotNull().cast("long"), "__p": F.coalesce(F.col("__x") == inf, F.lit(False)).cast("long"), "__m": F.coalesce(F.col("__x") == -inf, F.lit(False)).cast("long")}
-    for name, c in parts.items():
-        df = df.withColumn(name, F.coalesce(c, F.lit(0.0)) if name == "__f" else c)
-    for name in parts:
-        df = df.withColumn(name + "r", F.sum(name).over(so_far)).withColumn(name + "w", F.sum(name).over(whole))
+    x, inf = F.col("__x"), float("inf")
+    df = df.withColumn("__f", F.when(F.abs(x) < inf, x).otherwise(0.0)).withColumn("__c", F.when(x.isNull(), F.lit(0).cast("long")).when(x == inf, F.lit(1 + (1 << _BITS)).cast("long")).when(x == -inf, F.lit(1 + (1 << 2 * _BITS))).otherwise(F.lit(1).cast("long")))
+    for name in ("__f", "__c"):
+        df = df.withColumn(name + "r", F.sum(name).over(so_far))
+        if after:
+            df = df.withColumn(name + "w", F.sum(name).over(whole))
 
     def span(name: str) -> Column:
         end = F.coalesce(F.lead(name + "r", after).over(lane), F.col(name + "w")) if after else F.col(name + "r")
         return end - F.coalesce(F.lag(name + "r", before + 1).over(lane), F.lit(0))
 
-    for name in parts:
-        df = df.withColumn(name + "s", span(name))
-    total = F.when((F.col("__ps") > 0) & (F.col("__ms") > 0), F.lit(float("nan"))).when(F.col("__ps") > 0, F.lit(inf)).when(F.col("__ms") > 0, F.lit(-inf)).otherwise(F.col("__fs"))
-    return df, total, F.col("__cs")
+    df = df.withColumn("__fs", span("__f")).withColumn("__cs", span("__c"))
+    count = lambda k: F.shiftright("__cs", k * _BITS).bitwiseAND((1 << _BITS) - 1)
+    up, down = count(1) > 0, count(2) > 0
+    total = F.when(up & down, F.lit(float("nan"))).when(up, F.lit(inf)).when(down, F.lit(-inf)).otherwise(F.col("__fs"))
+    return df, total, count(0)

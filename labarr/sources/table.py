@@ -22,6 +22,17 @@ def _label(x):
     return x
 
 
+def _distinct(df: DataFrame, dims: list[str]) -> dict[str, list]:
+    """Sorted distinct labels of each column, in one pass over the table."""
+    if not dims:
+        return {}
+    tagged = [F.struct(F.lit(k).alias("k"), *(F.col(f"`{e}`").alias(f"c{i}") if e == d else F.lit(None).cast(df.schema[e].dataType).alias(f"c{i}") for i, e in enumerate(dims))) for k, d in enumerate(dims)]
+    rows = df.select(F.explode(F.array(*tagged)).alias("x")).select("x.*").distinct().limit(LABELS + 1).collect()
+    if len(rows) > LABELS:
+        raise ValueError(f"dimensions {dims} have more than {LABELS} labels")
+    return {d: sorted(r[k + 1] for r in rows if r["k"] == k and r[k + 1] is not None) for k, d in enumerate(dims)}
+
+
 def from_table(df: DataFrame, dims: list[str], values: dict[str, Column] | list[str], coords: dict[str, list] | None = None, complete: bool = True, attrs: dict | None = None) -> Dataset:
     """A dataset from a table that has a column per dimension.
 
@@ -33,19 +44,14 @@ def from_table(df: DataFrame, dims: list[str], values: dict[str, Column] | list[
     """
     aggregates = {v: F.first(v) for v in values} if isinstance(values, list) else values
     grouped = df.dropna(subset=dims).groupBy(*dims).agg(*(c.alias(n) for n, c in aggregates.items()))
-    indexes, frame = {}, grouped
     spark = df.sparkSession
+    found = _distinct(df, [d for d in dims if not (coords and d in coords)])
+    indexes, frame = {}, grouped
     for d in dims:
-        kind = df.schema[d].dataType
-        if coords and d in coords:
-            raw = list(coords[d])
-        else:
-            rows = df.select(d).dropna().distinct().limit(LABELS + 1).collect()
-            if len(rows) > LABELS:
-                raise ValueError(f"dimension '{d}' has more than {LABELS} labels")
-            raw = sorted(r[0] for r in rows)
+        raw = list(coords[d]) if coords and d in coords else found[d]
         indexes[d] = Index([_label(x) for x in raw])
-        table = spark.createDataFrame([(x, i) for i, x in enumerate(raw)], f"`{d}` {kind.simpleString()}, `{position(d)}` long")
+        kind = df.schema[d].dataType.simpleString()
+        table = spark.createDataFrame([(x, i) for i, x in enumerate(raw)], f"`{d}` {kind}, `{position(d)}` long")
         frame = frame.join(F.broadcast(table) if len(raw) <= 1 << 20 else table, d).drop(d)
     names = [position(d) for d in dims]
     shape = tuple(len(indexes[d]) for d in dims)
