@@ -153,9 +153,15 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", keep
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Equal
     fingerprints are one point, so groups of copies cost one row; rows that repeat a key
-    all get that key's component. Rows with a null key take part (component_id is the
+    are judged each by its own text. Rows with a null key take part (component_id is the
     smallest key that is not null, null if none). An empty table gives no rows.
     """
+    rows = _grouped(df, text, key, keep, width, block)
+    return rows.select(key, *keep, F.lower(F.lpad(F.hex(f"{T}fp"), 16, "0")).alias("fingerprint"), F.col(f"{T}least").alias("component_id"))
+
+
+def _grouped(df: DataFrame, text: str, key: str, keep: tuple[str, ...], width: int, block: int = BLOCK) -> DataFrame:
+    """``key`` and ``keep`` with the fingerprint, the component's root and smallest key."""
     cols = (key, *keep)
     prints = materialize(fingerprints(df, text, cols, f"{T}fp", width), "simhash-prints")
     points = materialize(prints.groupBy(F.col(f"{T}fp").alias("fp")).agg(F.min(F.col(key).cast("long")).alias("least")), "simhash-points")
@@ -163,9 +169,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", keep
     found = components(links(nodes, block))
     of = points.join(found, points["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias(f"{T}least"))
-    named = of.join(least, "root").select(F.col("fp").alias(f"{T}fp"), f"{T}least")
-    rows = prints.join(named, f"{T}fp", "left")
-    return rows.select(key, *keep, F.lower(F.lpad(F.hex(f"{T}fp"), 16, "0")).alias("fingerprint"), F.col(f"{T}least").alias("component_id"))
+    named = of.join(least, "root").select(F.col("fp").alias(f"{T}fp"), F.col("root").alias(f"{T}root"), f"{T}least")
+    return prints.join(named, f"{T}fp", "left")
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
@@ -173,8 +178,8 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", width: i
     ``df``. Texts are moved once, to meet the few bytes that decide about each row."""
     rows = df.withColumn(f"{T}row", F.monotonically_increasing_id())
     rows = materialize(rows, "dedup-rows")  # fixes the numbers
-    found = near_duplicates(rows.select(F.col(key).cast("long").alias(f"{T}key"), f"{T}row", F.col(text).alias(f"{T}text")), f"{T}text", f"{T}key", (f"{T}row",), width)
-    # among rows of a component's key the first stays; a component without any key has one number
-    best = found.groupBy("fingerprint", "component_id").agg(F.min(F.struct(F.col(f"{T}key").isNull().alias("n"), F.col(f"{T}key").alias("k"), F.col(f"{T}row").alias("r"))).alias("b"))
-    least = best.groupBy("component_id").agg(F.min("b").alias("b"))
+    found = _grouped(rows.select(F.col(key).cast("long").alias(f"{T}key"), f"{T}row", F.col(text).alias(f"{T}text")), f"{T}text", f"{T}key", (f"{T}row",), width)
+    # of the rows that share the smallest key the first stays; reduced by fingerprint first
+    best = F.min(F.struct(F.col(f"{T}key").isNull().alias("n"), F.col(f"{T}key").alias("k"), F.col(f"{T}row").alias("r"))).alias("b")
+    least = found.groupBy(f"{T}fp", f"{T}root").agg(best).groupBy(f"{T}root").agg(F.min("b").alias("b"))
     return rows.join(least.select(F.col("b.r").alias(f"{T}row")), f"{T}row", "left_semi").select(*df.columns)
