@@ -1 +1,3 @@
 """labarr: labelled multi-dimensional arrays as Spark DataFrames."""
+
+__version__ = "0.1.0"

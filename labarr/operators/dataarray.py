@@ -330,6 +330,12 @@ class DataArray:
 
     gt, ge, lt, le, eq, ne = greater_than, greater_equal, less_than, less_equal, equal, not_equal
 
+    def elementwise(self, op: Callable[..., Column], *others) -> DataArray:
+        """``op`` over columns of doubles of this array and others, broadcast by dimension."""
+        got = combine.apply([self, *others], lambda c, t: (op(*(exprs.number(x, k) for x, k in zip(c, t, strict=True))).cast("double"), S.DoubleType()))
+        got.attrs, got.name = dict(self.attrs), self.name
+        return got
+
     def where(self, cond, other=None, keep_attrs=False) -> DataArray:
         """Own cells where ``cond`` is truthy, else ``other`` (null by default)."""
         return combine.where(cond, self, other, keep_attrs)

@@ -498,6 +498,62 @@ def shard_locate(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.floor(at / 6).alias("shard"), (at % 6).alias("slot"))
 
 
+def _asof(spark, sf_dir, method: str, tolerance: float | None = None, by: bool = False) -> DataFrame:
+    """Views looked up among purchases, by time (of the same user)."""
+    from .operators.asof import asof_join
+
+    events = table(spark, sf_dir, "events")
+    view = events.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    buy = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("paid"))
+    got = asof_join(view, buy, "ts", ["paid"], ["user_id"] if by else None, method, tolerance)
+    return got.select("event_id", F.col("ts_right").cast("timestamp_ntz").alias("bought"), "paid")
+
+
+_VIEWS = "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') v"
+_BUYS = "(SELECT user_id, ts AS bought, min(value) AS paid FROM events WHERE event_type = 'purchase' GROUP BY ALL) b"
+_BUYS_ALL = "(SELECT ts AS bought, min(value) AS paid FROM events WHERE event_type = 'purchase' GROUP BY ALL) b"
+
+
+@query(f"SELECT event_id, bought, paid FROM {_VIEWS} ASOF LEFT JOIN {_BUYS_ALL} ON v.ts >= b.bought")
+def asof_backward(spark, sf_dir):
+    return _asof(spark, sf_dir, "ffill")
+
+
+@query(f"SELECT event_id, bought, paid FROM {_VIEWS} ASOF LEFT JOIN {_BUYS_ALL} ON v.ts <= b.bought")
+def asof_forward(spark, sf_dir):
+    return _asof(spark, sf_dir, "bfill")
+
+
+@query(f"SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(bought) <= 86400000000 THEN bought END AS bought, CASE WHEN epoch_us(ts) - epoch_us(bought) <= 86400000000 THEN paid END AS paid FROM {_VIEWS} ASOF LEFT JOIN {_BUYS} ON v.user_id = b.user_id AND v.ts >= b.bought")
+def asof_grouped_tolerance(spark, sf_dir):
+    return _asof(spark, sf_dir, "ffill", 86_400_000, True)
+
+
+@query(f"SELECT event_id, CASE WHEN p.bought IS NULL OR epoch_us(n.bought) - epoch_us(v.ts) < epoch_us(v.ts) - epoch_us(p.bought) THEN n.bought ELSE p.bought END AS bought, CASE WHEN p.bought IS NULL OR epoch_us(n.bought) - epoch_us(v.ts) < epoch_us(v.ts) - epoch_us(p.bought) THEN n.paid ELSE p.paid END AS paid FROM {_VIEWS} ASOF LEFT JOIN {_BUYS_ALL.replace(') b', ') p')} ON v.ts >= p.bought ASOF LEFT JOIN {_BUYS_ALL.replace(') b', ') n')} ON v.ts <= n.bought")
+def asof_nearest(spark, sf_dir):
+    return _asof(spark, sf_dir, "nearest")
+
+
+@query(f"SELECT i, j, k, greatest(q, p / 1500) AS value FROM ({_CUBE_GRID})")
+def elementwise_custom(spark, sf_dir):
+    c = cube(spark, sf_dir)
+    return _cells(c["quantity"].elementwise(lambda q, p: F.greatest(q, p / 1500), c["price"]), "i", "j", "k")
+
+
+@query("SELECT i - 10 AS row, (i * 7 + j)::DOUBLE AS value FROM range(40) a(i), range(90) b(j) WHERE j = 81 AND i BETWEEN 10 AND 30")
+def loader_scan(spark, sf_dir):
+    """An array that a function makes; only blocks with wanted positions are asked for."""
+    import numpy as np
+
+    from .sources.loader import from_loader
+
+    def load(r):
+        return np.add.outer(np.array(r["row"]) * 7.0, np.array(r["col"], float))
+
+    a = from_loader(spark, ["row", "col"], (40, 90), load, block=(16, 32))
+    return _cells(a.isel({"col": 81, "row": slice(10, 31)}), "row")
+
+
 @query(f"SELECT {_text_day('d')} AS day, round(CASE WHEN count(v) OVER w >= 7 THEN avg(v) OVER w END, 4) AS value FROM ({_DAILY}) WHERE event_type = 'purchase' WINDOW w AS (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")
 def weekly_purchases(spark, sf_dir):
     """The flagship: table to array, selection, rolling mean, records."""
