@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, materialize, row_slices
+from .common import T, materialize, row_slices, small_batches
 
 #: Characters of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -31,7 +31,7 @@ CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: pattern's longest look past a match (a contraction) plus one.
 MARGIN = 4
 #: Pieces that a worker remembers; its memory is emptied when full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,19 +47,19 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         # a pattern that takes everything: the library then merges one whole piece
         self.merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as packed integers
 
     def encode(self, pieces: Iterable[str], out: array) -> None:
         known = self.known
         for piece in pieces:
             ids = known.get(piece)
             if ids is None:
-                ids = self.merge(piece)
+                ids = array("i", self.merge(piece)).tobytes()
                 if len(piece) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[piece] = ids
-            out.extend(ids)
+            out.frombytes(ids)
 
     def starts(self, text: str, begin: int, end: int) -> list[int]:
         """Sure starts of matches in text[begin:end], as positions of ``text``."""
@@ -110,7 +110,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     null ids each give a row; other columns are not read. Texts of up to one chunk are
     encoded where they are; longer ones are spread over the cluster by chunk.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary: a fixed size
     column = F.coalesce(F.col(text).cast("string"), F.lit("")).alias(f"{T}text")
     rows = df.select(*keep, column)
@@ -201,7 +201,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", keep:
     ``packed`` names a further column for the ids as little-endian unsigned 32-bit
     integers. Null or empty ids give empty bytes; an unknown id is an error.
     """
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(ranks)
     rows = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(f"{T}ids"))
     schema = S.StructType([rows.schema[c] for c in keep] + [S.StructField(c, S.BinaryType()) for c in (out, packed) if c])
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, materialize, row_slices
+from .common import T, materialize, row_slices, small_batches
 
 #: Words of a window; characters of items in one automaton, at most.
 WINDOW, SHARD = 10, 1 << 24
@@ -177,7 +177,7 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, .
 
 def _scan(df: DataFrame, items: DataFrame, text: str, keep: tuple[str, ...], item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """As ``scan``, with names that no column of ``df`` has."""
-    spark = df.sparkSession
+    small_batches(df)
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
     zero = F.lit(0).cast("long")
     made = {"text": F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"), "n_words": zero, "spans": none("struct<start:bigint,end:bigint>"), "items": none("string"), "longest": zero}
@@ -250,9 +250,10 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", max_span: int = 0
     Spans of more than ``max_span`` words are cut out of the text, and rows of which
     more than ``max_coverage`` of all words lie in spans are left out.
     """
-    found = _scan(df.withColumn(f"{T}body", F.col(text).cast("string")), items, f"{T}body", (*df.columns, f"{T}body"), **options)
-    covered = hits(F.col(f"{T}spans"))
+    found = _scan(df, items, text, tuple(df.columns), **options)
+    covered, body = hits(F.col(f"{T}spans")), F.col(text)
+    if max_coverage <= 0:  # rows with any span go, so none is left to cut
+        return found.filter(covered == 0).select(*df.columns)
     kept = found.filter(covered <= F.col(f"{T}n_words") * max_coverage) if max_coverage < 1 else found
     cut = F.filter(f"{T}spans", lambda s: s["end"] - s["start"] > max_span)
-    done = F.when(F.size(cut) > 0, _cut(F.col(f"{T}body"), cut)).otherwise(F.col(f"{T}body"))
-    return kept.withColumn(text, done).select(*df.columns)
+    return kept.withColumn(text, F.when(F.size(cut) > 0, _cut(body, cut)).otherwise(body)).select(*df.columns)

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from .common import T, held_out
+from .common import T, held_out, small_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Labelled documents learned from, at most, and bytes of each.
@@ -135,17 +136,18 @@ def predict(df: DataFrame, net: Network | None, text: str = "text", keep: tuple[
     with score 0. Ties between languages go to the first in order. Rows are independent;
     further columns are not read; an empty table gives no rows.
     """
-    rows = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(f"{T}text"))
+    rows = small_batches(df).select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(f"{T}text"))
     shared = df.sparkSession.sparkContext.broadcast(net)  # a fixed size
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    schema = S.StructType([rows.schema[c] for c in keep] + [S.StructField("lang_pred", S.StringType()), S.StructField("score", S.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for frame in batches:
-            got = [_one(own, t) for t in frame[f"{T}text"]]
-            yield frame[list(keep)].assign(lang_pred=[a for a, _ in got], score=[b for _, b in got])
+        for batch in batches:
+            got = [_one(own, t) for t in batch.column(f"{T}text").to_pylist()]
+            made = [pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=schema.names)
 
-    return rows.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def _one(net: Network | None, text: str) -> tuple[str, float]:

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from .common import T, held_out
+from .common import T, held_out, small_batches
 
 #: Labelled documents learned from, at most; latent dimensions; neighbours that vote.
 SAMPLE, LATENT, NEIGHBOURS = 4096, 48, 25
@@ -124,17 +125,18 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
     1 (0.5 without a model). Ties between neighbours are cut arbitrarily but alike for
     equal texts. Rows are independent; an empty table gives no rows.
     """
-    rows = df.select(*keep, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias(f"{T}text"))
+    rows = small_batches(df).select(*keep, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias(f"{T}text"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # SAMPLE x LATENT and TERMS x LATENT
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    schema = S.StructType([rows.schema[c] for c in keep] + [S.StructField(out[0], S.DoubleType()), S.StructField(out[1], S.IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for frame in batches:
-            got = own.scores([bytes(x) for x in frame[f"{T}text"]]) if own else np.full(len(frame), 0.5)
-            yield frame[list(keep)].assign(**{out[0]: got, out[1]: (got >= least).astype("int32")})
+        for batch in batches:
+            got = own.scores(batch.column(f"{T}text").to_pylist()) if own else np.full(batch.num_rows, 0.5)
+            made = [pa.array(got, pa.float64()), pa.array((got >= least).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=schema.names)
 
-    return rows.mapInPandas(run, f"{fields}, `{out[0]}` double, `{out[1]}` int")
+    return rows.mapInArrow(run, schema)
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, materialize, row_slices
+from .common import T, materialize, row_slices, small_batches
 from .components import components
 
 #: Bits of a half, and the distance up to which fingerprints link.
@@ -49,7 +49,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "fp", width: int = 3) -> DataFrame:
     """``keep`` and ``out``, the fingerprint as a signed 64-bit integer; null text: 0."""
-    rows = df.select(*keep, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias(f"{T}text"))
+    rows = small_batches(df).select(*keep, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias(f"{T}text"))
     schema = S.StructType([rows.schema[c] for c in keep] + [S.StructField(out, S.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
