@@ -80,16 +80,14 @@ def _same_picks(a, b) -> bool:
     return a._source.dims == b._source.dims and all(type(a._picks[d]) is type(b._picks[d]) and (np.array_equal(a._picks[d], b._picks[d]) if isinstance(a._picks[d], np.ndarray) else a._picks[d] == b._picks[d]) for d in a._source.dims)
 
 
-def binary(op: str, left, right, strict: bool, keep_attrs=None):
+def binary(op: str, left, right, strict: bool, keep_attrs):
     """Arithmetic keeps the left operand's attributes and name, a comparison no attributes."""
     if op in exprs.ARITHMETIC:
         f = exprs.ARITHMETIC[op]
         out = apply([left, right], lambda c, t: (f(exprs.operand(c[0], t[0], strict, op), exprs.operand(c[1], t[1], strict, op)), S.DoubleType()))
-        keep = True if keep_attrs is None else keep_attrs
     else:
         out = apply([left, right], lambda c, t: (exprs.compare(op, c[0], t[0], c[1], t[1], strict), S.BooleanType()))
-        keep = False if keep_attrs is None else keep_attrs
-    attrs = keep({"left": left, "right": right}) if callable(keep) else getattr(left, "attrs", {}) if keep else {}
+    attrs = keep_attrs({"left": left, "right": right}) if callable(keep_attrs) else getattr(left, "attrs", {}) if keep_attrs else {}
     out.attrs, out.name = dict(attrs or {}), getattr(left, "name", None)
     return out
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as S
 
 from ..functions import cftime, exprs
 from ..functions.arrays import flatten, get_shape
-from ..plans.index import Index, _same
+from ..plans.index import Index
 from ..plans.picks import Pick, compose, covers, normalize
 from ..plans.source import FrameSource, Source, mapping, position
 from . import combine, rolling
@@ -287,46 +287,47 @@ class DataArray:
 
     # --- element-wise ------------------------------------------------------------------
 
-    def _arithmetic(self, op: str, other, strict: bool) -> DataArray:
-        return combine.binary(op, self, other, strict)
+    def _arithmetic(self, op: str, other, strict: bool, keep_attrs=True) -> DataArray:
+        return combine.binary(op, self, other, strict, keep_attrs)
 
-    def add(self, other, strict: bool = False) -> DataArray:
-        """Numbers only. ``strict``: a null operand is an error; else it gives null."""
-        return self._arithmetic("add", other, strict)
+    def add(self, other, strict: bool = False, keep_attrs=True) -> DataArray:
+        """Numbers only. ``strict``: a null operand is an error; else it gives null.
+        ``keep_attrs``: the left operand's, none, or a function of {left, right}."""
+        return self._arithmetic("add", other, strict, keep_attrs)
 
-    def subtract(self, other, strict: bool = False) -> DataArray:
-        return self._arithmetic("subtract", other, strict)
+    def subtract(self, other, strict: bool = False, keep_attrs=True) -> DataArray:
+        return self._arithmetic("subtract", other, strict, keep_attrs)
 
-    def multiply(self, other, strict: bool = False) -> DataArray:
-        return self._arithmetic("multiply", other, strict)
+    def multiply(self, other, strict: bool = False, keep_attrs=True) -> DataArray:
+        return self._arithmetic("multiply", other, strict, keep_attrs)
 
-    def divide(self, other, strict: bool = False) -> DataArray:
+    def divide(self, other, strict: bool = False, keep_attrs=True) -> DataArray:
         """IEEE division."""
-        return self._arithmetic("divide", other, strict)
+        return self._arithmetic("divide", other, strict, keep_attrs)
 
-    def power(self, other, strict: bool = False) -> DataArray:
-        return self._arithmetic("power", other, strict)
+    def power(self, other, strict: bool = False, keep_attrs=True) -> DataArray:
+        return self._arithmetic("power", other, strict, keep_attrs)
 
     sub, mul, div, pow = subtract, multiply, divide, power
     __add__, __sub__, __mul__, __truediv__, __pow__ = add, subtract, multiply, divide, power
 
-    def greater_than(self, other, strict: bool = False) -> DataArray:
-        return combine.binary("gt", self, other, strict)
+    def greater_than(self, other, strict: bool = False, keep_attrs=False) -> DataArray:
+        return combine.binary("gt", self, other, strict, keep_attrs)
 
-    def greater_equal(self, other, strict: bool = False) -> DataArray:
-        return combine.binary("ge", self, other, strict)
+    def greater_equal(self, other, strict: bool = False, keep_attrs=False) -> DataArray:
+        return combine.binary("ge", self, other, strict, keep_attrs)
 
-    def less_than(self, other, strict: bool = False) -> DataArray:
-        return combine.binary("lt", self, other, strict)
+    def less_than(self, other, strict: bool = False, keep_attrs=False) -> DataArray:
+        return combine.binary("lt", self, other, strict, keep_attrs)
 
-    def less_equal(self, other, strict: bool = False) -> DataArray:
-        return combine.binary("le", self, other, strict)
+    def less_equal(self, other, strict: bool = False, keep_attrs=False) -> DataArray:
+        return combine.binary("le", self, other, strict, keep_attrs)
 
-    def equal(self, other) -> DataArray:
-        return combine.binary("eq", self, other, False)
+    def equal(self, other, keep_attrs=False) -> DataArray:
+        return combine.binary("eq", self, other, False, keep_attrs)
 
-    def not_equal(self, other) -> DataArray:
-        return combine.binary("ne", self, other, False)
+    def not_equal(self, other, keep_attrs=False) -> DataArray:
+        return combine.binary("ne", self, other, False, keep_attrs)
 
     gt, ge, lt, le, eq, ne = greater_than, greater_equal, less_than, less_equal, equal, not_equal
 
@@ -531,6 +532,3 @@ def json_ready(x):
     if isinstance(x, np.generic):
         x = x.item()
     return None if isinstance(x, float) and not math.isfinite(x) else x
-
-
-same_labels = _same

@@ -75,6 +75,25 @@ class ZipStore(ZarrStore):
             return [n for n in z.namelist() if posixpath.basename(n) == "zarr.json"]
 
 
+class ConsolidatedStore(ZarrStore):
+    """A store whose root metadata holds that of all nodes, by name: directly or, in the
+    later layout, under ``metadata``. Needs no listing; chunks come from the inner store."""
+
+    def __init__(self, store: ZarrStore):
+        self.store = store
+        root = json.loads(store.get("zarr.json") or b"{}")
+        held = root.get("consolidated_metadata") or {}
+        held = held["metadata"] if isinstance(held.get("metadata"), dict) and "node_type" not in held["metadata"] else held
+        self.nodes = {f"{n.strip('/')}/zarr.json": m for n, m in held.items() if n.strip("/") and isinstance(m, dict)} | {"zarr.json": root}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.nodes.get(key.lstrip("/"))
+        return json.dumps(found).encode() if found is not None else self.store.get(key)
+
+    def list_metadata_keys(self) -> list[str]:
+        return list(self.nodes)
+
+
 class Blocks(ABC):
     """Content by identifier: raw blocks, and files made of them."""
 

@@ -167,6 +167,8 @@ def test_where(make):
 def test_comparisons(make):
     a = make([1, 2, 3], ["x"], attrs={"u": 1})
     assert a.lt(2).data() == [True, False, False] and a.lt(2).attrs == {}
+    assert a.lt(2, keep_attrs=True).attrs == {"u": 1} and a.add(1, keep_attrs=False).attrs == {}
+    assert a.add(1, keep_attrs=lambda ops: {"n": sorted(ops)}).attrs == {"n": ["left", "right"]}
     odd = make([1, NAN, None, 0.0], ["x"])
     assert odd.gt(0).data() == [True, False, None, False]
     assert odd.le(NAN).data() == [False, False, None, False]

@@ -119,6 +119,15 @@ def test_groups_and_errors(spark):
             zarr.open_zarr(spark, stores.MemoryStore(data))
 
 
+def test_consolidated_metadata(spark):
+    nodes = {"x": meta([2], ["x"]), "v": meta([1, 2], ["y", "x"])}
+    for held in (nodes, {"metadata": nodes, "kind": "inline"}):
+        store = stores.MemoryStore({"zarr.json": {"node_type": "group", "attributes": {"a": 1}, "consolidated_metadata": held}, "x/c/0": f8(5, 6), "v/c/0/0": f8(7, 8)})
+        store.list_metadata_keys = lambda: []
+        d = zarr.open_zarr(spark, stores.ConsolidatedStore(store))
+        assert d["v"].sel({"x": 6, "y": 0}).item() == 8 and d.attrs == {"a": 1}
+
+
 def test_labels_only_and_wrong_lengths(spark):
     only = zarr.open_zarr(spark, stores.MemoryStore({"x/zarr.json": meta([3], ["x"]), "x/c/0": f8(5, 6, 7)}))
     assert only["x"].data() == [0, 1, 2] and only.coords == {"x": [5, 6, 7]}
