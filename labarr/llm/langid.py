@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, held_out, small_batches
+from .common import T, held_out, sampled, small_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Labelled documents learned from, at most, and bytes of each.
+#: Labelled documents learned from, about, and bytes of each.
 SAMPLE, LEARNED = 4096, 4 * WINDOW
 _LETTER = regex.compile(r"\p{L}")
 
@@ -113,16 +113,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """A network from at most ``sample`` rows (those whose text's hash is smallest) and
-    LEARNED bytes of each; None without a labelled text."""
-    rows = labelled.filter(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang).cast("string").alias("lang"), F.encode(F.substring(text, 1, LEARNED), "UTF-8").alias("data"))
-    rows = rows.orderBy(F.xxhash64("data"), "data", "lang").limit(sample).toPandas()
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Network | None:
+    """A network from about ``sample`` labelled rows, chosen by hash, and LEARNED bytes of
+    each; None without a labelled text."""
+    told = labelled.filter(F.col(lang).isNotNull())
+    rows = told.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.encode(F.substring(F.col(text).cast("string"), 1, LEARNED), "UTF-8").alias("data"))
+    rows = sampled(rows, told.count(), sample, "key", "data").filter(F.length("data") > 0).toPandas()
     if not len(rows):
         return None
+    rows["data"] = [bytes(d) for d in rows["data"]]
+    rows = rows.sort_values(["data", "lang"])
     labels = sorted(set(rows["lang"]))
     net = Network(labels)
-    parts = [windows(bytes(d)[:LEARNED]) for d in rows["data"]]
+    parts = [windows(d[:LEARNED]) for d in rows["data"]]
     y = np.repeat([labels.index(x) for x in rows["lang"]], [len(p) for p in parts])
     net.train(np.concatenate(parts), y)
     net.freeze()
@@ -168,5 +171,5 @@ def _one(net: Network | None, text: str) -> tuple[str, float]:
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, held_out, lang_pred, score; learns only from rows that are not held out."""
-    net = fit(df.filter(~held_out(F.col(key))), text, lang)
+    net = fit(df.filter(~held_out(F.col(key))), text, lang, key)
     return predict(df.withColumn(f"{T}held", held_out(F.col(key))), net, text, (key, f"{T}held")).withColumnRenamed(f"{T}held", "held_out")
