@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, held_out, small_batches
+from .common import T, held_out, sampled, small_batches
 
-#: Labelled documents learned from, at most; latent dimensions; neighbours that vote.
+#: Labelled documents learned from, about; latent dimensions; neighbours that vote.
 SAMPLE, LATENT, NEIGHBOURS = 4096, 48, 25
 #: Characters that are classes of their own.
 OWN = b" \n.,;:!?'\"|*$%&#@=-_/\\<>()[]{}+~^`"
@@ -99,19 +99,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model from at most ``sample`` labelled rows that are not held out: those whose
-    key's hash is smallest. None without a labelled text. Of a key's labels the smallest
-    counts; labels that are null or not 0 or 1 are left out."""
-    told = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias(f"{T}key")).agg(F.min(label).cast("int").alias("label"))
-    chosen = told.orderBy(F.xxhash64(f"{T}key"), f"{T}key").limit(sample)
-    rows = df.select(F.col(key).alias(f"{T}key"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("data"))
-    # the limit bounds the broadcast side
-    got = rows.join(F.broadcast(chosen), f"{T}key").orderBy(F.xxhash64("data"), "data").limit(sample)
-    learned, votes = [], []
-    for r in got.toLocalIterator():
-        learned.append(bytes(r["data"])[:LONGEST])
-        votes.append(r["label"])
-    return Model(learned, votes) if learned else None
+    """A model from about ``sample`` labelled rows that are not held out, chosen by their
+    key's hash. None without a labelled text. Of a key's labels the smallest counts;
+    labels that are null or not 0 or 1 are left out."""
+    told = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    chosen = sampled(told.select(F.col(key).alias(f"{T}key"), F.col(label).cast("int").alias("label")), told.count(), sample, f"{T}key").groupBy(f"{T}key").agg(F.min("label").alias("label"))
+    rows = df.select(F.col(key).alias(f"{T}key"), F.substring(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"), 1, LONGEST).alias("data"))
+    # the sample bounds the broadcast side, and with it what comes to the driver
+    got = rows.join(F.broadcast(chosen), f"{T}key").limit(2 * sample).select("data", "label")
+    learned = sorted((bytes(r["data"]), r["label"]) for r in got.toLocalIterator())
+    return Model([d for d, _ in learned], [v for _, v in learned]) if learned else None
 
 
 #: Bytes of a labelled text that are learned from; scored texts are always read whole.
