@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sampled, small_batches
 
-#: Rows the trees are fitted on, at most; rows of that sample in a leaf, at least; depth.
+#: Rows the trees are fitted on, about; rows of that sample in a leaf, at least; depth.
 SAMPLE, LEAF, DEPTH = 1 << 14, 8, 7
 #: Vectors and queries of one leaf that meet in one step, at most.
 ROWS, QUERIES = 1 << 14, 1 << 11
@@ -100,7 +100,7 @@ def search(df: DataFrame, modulus: int | None = None, key: str = "vec_id", vecto
     are searched once and filed once, with their k + 1 smallest ids: more can not be in
     any answer. Other columns are not read; an empty table gives no rows.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = materialize(_vectors(df, key, vector), "ann-rows")
     kind = rows.schema["vec"].dataType.simpleString()
@@ -117,7 +117,8 @@ def search(df: DataFrame, modulus: int | None = None, key: str = "vec_id", vecto
     group = asked.groupBy("vec").agg(F.min("key").alias("q"))
     names = asked.join(group, "vec").select(F.col("key").alias("query_id"), "q")
 
-    sample = points.orderBy(F.xxhash64(F.get("ids", F.lit(0)))).limit(SAMPLE).select("vec").toPandas()
+    sample = sampled(points, points.count(), SAMPLE, "ids").toPandas()
+    sample = sample.iloc[np.argsort([x[0] for x in sample["ids"]], kind="stable")]
     forest = Forest(_stack(sample["vec"]), trees, seed=seed)
     shared = spark.sparkContext.broadcast(forest)  # trees x leaves, bounded by SAMPLE
 
