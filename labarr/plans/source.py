@@ -52,15 +52,18 @@ class FrameSource(Source):
     """A value expression over a DataFrame with position columns.
 
     Variables over one frame share its scan: operations between them become one
-    projection, without a join.
+    projection, without a join. A frame may also be an object that plans itself for the
+    wanted positions, by ``narrowed(picks)``.
     """
 
-    def __init__(self, frame: DataFrame, dims: tuple[str, ...], shape: tuple[int, ...], value: Column | str = "value", dtype: S.DataType | None = None):
+    def __init__(self, frame, dims: tuple[str, ...], shape: tuple[int, ...], value: Column | str = "value", dtype: S.DataType | None = None):
         self.frame, self.dims, self.shape, self.spark = frame, tuple(dims), tuple(shape), frame.sparkSession
         self.value = F.col(value) if isinstance(value, str) else value
         self.dtype = dtype or frame.select(self.value.alias("value")).schema["value"].dataType
 
     def narrowed(self, picks: dict[str, Pick]) -> DataFrame:
+        if not isinstance(self.frame, DataFrame):
+            return self.frame.narrowed(picks)
         df = self.frame
         for d, n in zip(self.dims, self.shape, strict=True):
             if d in picks and not covers(picks[d], n):

@@ -1,4 +1,5 @@
 import json
+import re
 import struct
 import zipfile
 
@@ -314,3 +315,21 @@ def test_from_table_completes_the_grid(spark):
     given = from_table(df, ["k"], {"s": F.sum("v")}, {"k": ["b", "z"]})
     assert given["s"].data() == [1.0, None]
     assert from_table(df.limit(0), ["k"], ["v"])["v"].shape == (0,)
+
+
+def test_selections_reach_the_scan_of_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i % 7}", i % 5, float(i)) for i in range(70)], "k string, n int, v double")
+    df.write.parquet(str(tmp_path / "t"))
+    a = from_table(spark.read.parquet(str(tmp_path / "t")), ["k", "n"], {"s": F.sum("v")})["s"]
+    whole = a.data()
+    plan = lambda x: x.cells._jdf.queryExecution().executedPlan().toString()
+    one = a.sel({"k": "k3", "n": slice(1, 2)})
+    assert "EqualTo(k,k3)" in plan(one) or "GreaterThanOrEqual(k,k3)" in plan(one)
+    scan = one.cells._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    assert re.search(r"n#\d+ >= 1", scan) and re.search(r"n#\d+ <= 2", scan) and one.data() == whole[3][1:3]
+    some = a.sel({"k": ["k6", "k0", "k6"]})
+    assert re.search(r"k#\d+ IN \(k0,k6\)", some.cells._jdf.queryExecution().optimizedPlan().toString()) and some.data() == [whole[6], whole[0], whole[6]]
+    assert a.isel({"n": slice(None, None, -2)}).data() == [r[::-2] for r in whole]
+    assert a.isel({"k": []}).shape == (0, 5) and a.isel({"k": []}).data() == []
+    back = from_table(spark.read.parquet(str(tmp_path / "t")), ["k"], {"s": F.sum("v")}, {"k": ["k5", "zz", "k1"]})["s"]
+    assert back.isel({"k": slice(0, 2)}).data() == [sum(range(5, 70, 7)), None] and back.isel({"k": [2]}).data() == [sum(range(1, 70, 7))]
