@@ -112,4 +112,12 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
-ORACLES = {"op1_chat": _op1_sql(), "op10_decontam": _OP10_SQL}
+_OP4_SQL = """
+WITH p AS (SELECT page_id, url, html, CASE WHEN page_id % 50 = 3 THEN left(html, length(html) - 1) || chr(1) ELSE html END AS other FROM pages),
+r AS (SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:record:' || page_id || '>' || e || 'WARC-Target-URI: ' || regexp_replace(url, '[\\r\\n]', ' ', 'g') || e || 'WARC-Date: 2024-01-01T00:00:00Z' || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(html) || e || e AS head, html || e || e AS a, other || e || e AS b, page_id % 77 = 5 AS lost
+  FROM p, (SELECT chr(13) || chr(10) AS e))
+SELECT page_id, (page_id % 1000) * 65536 AS "offset", strlen(head || a) AS left_length, sha256(head || a) AS left_digest,
+  CASE WHEN NOT lost THEN strlen(head || b) END AS right_length, CASE WHEN NOT lost THEN sha256(head || b) END AS right_digest, CASE WHEN lost THEN 'missing' ELSE 'corrupt' END AS status
+FROM r WHERE lost OR a != b"""
+
+ORACLES = {"op4_warc": _OP4_SQL, "op1_chat": _op1_sql(), "op10_decontam": _OP10_SQL}
