@@ -156,21 +156,21 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", keep
     are judged each by its own text. Rows with a null key take part (component_id is the
     smallest key that is not null, null if none). An empty table gives no rows.
     """
-    rows = _grouped(df, text, key, keep, width, block)
+    prints = materialize(fingerprints(df, text, (key, *keep), f"{T}fp", width), "simhash-prints")
+    points = materialize(prints.groupBy(f"{T}fp").agg(F.min(F.col(key).cast("long")).alias("least")), "simhash-points")
+    of = points.join(_roots(points, block), f"{T}fp")
+    least = of.groupBy(f"{T}root").agg(F.min("least").alias(f"{T}least"))
+    named = of.join(least, f"{T}root").select(f"{T}fp", f"{T}least")
+    # a fingerprint that a third of all rows share is on the left, which can be split
+    rows = prints.join(named, f"{T}fp", "left")
     return rows.select(key, *keep, F.lower(F.lpad(F.hex(f"{T}fp"), 16, "0")).alias("fingerprint"), F.col(f"{T}least").alias("component_id"))
 
 
-def _grouped(df: DataFrame, text: str, key: str, keep: tuple[str, ...], width: int, block: int = BLOCK) -> DataFrame:
-    """``key`` and ``keep`` with the fingerprint, the component's root and smallest key."""
-    cols = (key, *keep)
-    prints = materialize(fingerprints(df, text, cols, f"{T}fp", width), "simhash-prints")
-    points = materialize(prints.groupBy(F.col(f"{T}fp").alias("fp")).agg(F.min(F.col(key).cast("long")).alias("least")), "simhash-points")
-    nodes = points.select(F.col("fp").alias("id"), "fp")
-    found = components(links(nodes, block))
-    of = points.join(found, points["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias(f"{T}least"))
-    named = of.join(least, "root").select(F.col("fp").alias(f"{T}fp"), F.col("root").alias(f"{T}root"), f"{T}least")
-    return prints.join(named, f"{T}fp", "left")
+def _roots(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Fingerprint and root (one fingerprint of its component) of distinct fingerprints."""
+    fp = F.col(f"{T}fp")
+    found = components(links(points.select(fp.alias("id"), fp.alias("fp")), block)).select(F.col("node").alias(f"{T}fp"), F.col("root").alias(f"{T}root"))
+    return points.select(fp).join(found, f"{T}fp", "left").select(f"{T}fp", F.coalesce(f"{T}root", f"{T}fp").alias(f"{T}root"))
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
@@ -178,8 +178,11 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", width: i
     ``df``. Texts are moved once, to meet the few bytes that decide about each row."""
     rows = df.withColumn(f"{T}row", F.monotonically_increasing_id())
     rows = materialize(rows, "dedup-rows")  # fixes the numbers
-    found = _grouped(rows.select(F.col(key).cast("long").alias(f"{T}key"), f"{T}row", F.col(text).alias(f"{T}text")), f"{T}text", f"{T}key", (f"{T}row",), width)
-    # of the rows that share the smallest key the first stays; reduced by fingerprint first
-    best = F.min(F.struct(F.col(f"{T}key").isNull().alias("n"), F.col(f"{T}key").alias("k"), F.col(f"{T}row").alias("r"))).alias("b")
-    least = found.groupBy(f"{T}fp", f"{T}root").agg(best).groupBy(f"{T}root").agg(F.min("b").alias("b"))
-    return rows.join(least.select(F.col("b.r").alias(f"{T}row")), f"{T}row", "left_semi").select(*df.columns)
+    told = rows.select(F.col(key).cast("long").alias(f"{T}key"), f"{T}row", F.col(text).alias(f"{T}text"))
+    prints = fingerprints(told, f"{T}text", (f"{T}key", f"{T}row"), f"{T}fp", width)
+    # of the rows that share the smallest key the first stays. Copies are reduced to one row
+    # where they are read, so that nothing after this knows how large their group is
+    first = F.min(F.struct(F.col(f"{T}key").isNull().alias("n"), F.col(f"{T}key").alias("k"), F.col(f"{T}row").alias("r"))).alias("first")
+    points = materialize(prints.groupBy(f"{T}fp").agg(first), "simhash-points")
+    kept = points.join(_roots(points), f"{T}fp").groupBy(f"{T}root").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.r").alias(f"{T}row")), f"{T}row", "left_semi").select(*df.columns)
