@@ -20,6 +20,8 @@ from .common import materialize, sampled, small_batches
 
 #: Rows the trees are fitted on, about; rows of that sample in a leaf, at least; depth.
 SAMPLE, LEAF, DEPTH = 1 << 14, 8, 7
+#: Vectors that a query looks at, at least, counted with repetition over trees.
+LEAST = 1 << 11
 #: Vectors and queries of one leaf that meet in one step, at most.
 ROWS, QUERIES = 1 << 14, 1 << 11
 
@@ -132,7 +134,7 @@ def search(df: DataFrame, modulus: int | None = None, key: str = "vec_id", vecto
     counts = np.zeros((trees, forest.inner + 1), np.int64)
     for r in spots.groupBy("tree", "leaf").count().collect():  # one row a leaf
         counts[r["tree"], r["leaf"]] = r["count"]
-    enough = share * counts[0].sum()
+    enough = max(share * counts[0].sum(), LEAST)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
