@@ -69,11 +69,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def with_row_key(df: DataFrame, col: str) -> DataFrame:
-    """Number rows. Only stable once the result is materialized."""
-    return df.withColumn(col, F.monotonically_increasing_id())
-
-
 def row_slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of text, or one row."""
     for batch in batches:

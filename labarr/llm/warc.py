@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import T, materialize
+from .common import T, materialize, small_batches
 
 
 def record(url: Column, record_id: Column, body: Column, date: str = "2024-01-01T00:00:00Z") -> Column:
@@ -34,8 +35,6 @@ def parse(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("pat
     schema = S.StructType([df.schema[c] for c in keep] + [S.StructField("offset", S.LongType()), S.StructField("length", S.LongType()), S.StructField("headers", S.MapType(S.StringType(), S.StringType())), S.StructField("body", S.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
         for batch in batches:
             for row in batch.to_pylist():
                 got, data, at = [], bytes(row[content] or b""), 0
@@ -50,16 +49,9 @@ def parse(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("pat
                     got.append({c: row[c] for c in keep} | {"offset": at, "length": stop - at, "headers": list(headers.items()), "body": data[end + 4 : upto]})
                     at = max(stop, at + 1)
                 if got:
-                    yield pa.RecordBatch.from_pylist(got, schema=_arrow(schema))
-        del pd
-
-    return df.select(*keep, content).mapInArrow(run, schema)
-
-
-def _arrow(schema: S.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+                    yield pa.RecordBatch.from_pylist(got, schema=to_arrow_schema(schema))
 
-    return to_arrow_schema(schema)
+    return small_batches(df).select(*keep, content).mapInArrow(run, schema)
 
 
 def manifest(df: DataFrame, archive: str, offset: str, content: str) -> DataFrame:
