@@ -120,4 +120,60 @@ SELECT page_id, (page_id % 1000) * 65536 AS "offset", strlen(head || a) AS left_
   CASE WHEN NOT lost THEN strlen(head || b) END AS right_length, CASE WHEN NOT lost THEN sha256(head || b) END AS right_digest, CASE WHEN lost THEN 'missing' ELSE 'corrupt' END AS status
 FROM r WHERE lost OR a != b"""
 
-ORACLES = {"op4_warc": _OP4_SQL, "op1_chat": _op1_sql(), "op10_decontam": _OP10_SQL}
+def _rows(rows) -> str:
+    """Rows of texts and numbers as SQL values."""
+    say = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows)
+
+
+_OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+t AS (SELECT * FROM (VALUES {_rows((k, *t) for k, t in enumerate(licenses.TEMPLATES))}) v(t, label, phrase, body)),
+tw AS (SELECT t, unnest(string_split(body, ' ')) AS word, unnest(range(len(string_split(body, ' ')))) AS pos FROM t),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS spot FROM d),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM dw WHERE word IN (SELECT word FROM tw) GROUP BY word),
+rare AS (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS r FROM (SELECT DISTINCT t, word FROM tw) LEFT JOIN df USING (word)),
+posts AS (SELECT tw.t, tw.word, tw.pos FROM tw JOIN rare ON tw.t = rare.t AND tw.word = rare.word WHERE r <= 6),
+sizes AS (SELECT t, count(*) AS size FROM posts GROUP BY t),
+best AS (SELECT doc_id, t, max(c) AS c FROM (SELECT doc_id, t, spot - pos AS place, count(*) AS c FROM dw JOIN posts USING (word) GROUP BY ALL) GROUP BY ALL),
+ok AS (SELECT best.doc_id, label, c::DOUBLE / size AS share FROM best JOIN sizes USING (t) JOIN t USING (t) JOIN d ON d.doc_id = best.doc_id
+  WHERE c::DOUBLE / size >= 0.6 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')),
+base AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_rows(licenses.BASE.items())}) v(phrase, label)),
+places AS (SELECT dw.doc_id, label, spot FROM dw JOIN base ON dw.word = base.p[1] JOIN d ON d.doc_id = dw.doc_id WHERE d.w[spot + 1:spot + len(p)] = p),
+n AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM ok) GROUP BY doc_id),
+top AS (SELECT doc_id, max(share) AS share FROM ok GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN top USING (doc_id)"""
+
+
+def _op6_sql() -> str:
+    # the last issued kind is told by what its runs hold, as SQL patterns can not look around
+    kinds = [(rank, kind, pattern, least, rank == 0) for rank, (kind, pattern, least) in enumerate(secrets.BASE)]
+    kinds += [(len(secrets.BASE) + k, kind, pattern, 0, False) for k, (kind, pattern) in enumerate(secrets.ISSUED[:-1])]
+    kinds.append((len(secrets.BASE) + len(secrets.ISSUED) - 1, secrets.ISSUED[-1][0], "[A-Za-z0-9+/_-]+", 0, False))
+    say = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for rank, kind, pattern, least, grouped in kinds:
+        key = f"regexp_extract_all(text, {say(pattern)}, {int(grouped)})"
+        test = f"length(k) >= {least}"
+        if kind == "mixed":
+            test = "length(k) BETWEEN 24 AND 128 AND regexp_matches(k, '[0-9]') AND regexp_matches(k, '[a-z]') AND regexp_matches(k, '[A-Z]')"
+        parts.append(f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, before + list_sum(list_transform(gaps[1:i], lambda g: length(g))) AS s, length(m) AS size, k
+  FROM (SELECT doc_id, source, gaps, i, found[i] AS m, keys[i] AS k, coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS before
+    FROM (SELECT doc_id, source, regexp_split_to_array(text, {say(pattern)}) AS gaps, regexp_extract_all(text, {say(pattern)}) AS found, {key} AS keys, unnest(range(1, len(regexp_extract_all(text, {say(pattern)})) + 1)) AS i
+      FROM documents WHERE regexp_matches(text, {say(pattern if kind != 'mixed' else '[A-Za-z0-9+/_-]{24}')}))) WHERE {test}""")
+    mark = "kind || ':' || s::BIGINT || ':' || (s + size)::BIGINT"
+    base = len(secrets.BASE)
+    return f"""
+WITH spans AS ({' UNION ALL '.join(parts)}),
+held AS (SELECT k, count(DISTINCT source) AS owners FROM spans GROUP BY k),
+seen AS (SELECT spans.*, owners FROM spans JOIN held USING (k)),
+told AS (SELECT doc_id, {', '.join(f"count(*) FILTER (rank = {r}) AS n_{k}" for r, (k, _, _) in enumerate(secrets.BASE))},
+  string_agg({mark}, ',' ORDER BY s, rank) FILTER (rank < {base}) AS b, string_agg({mark}, ',' ORDER BY s, rank, s + size, kind) FILTER (rank < {base} OR owners <= 2) AS a,
+  count(*) FILTER (owners <= 2) AS n_live, count(*) FILTER (owners > 2) AS n_example FROM seen GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k, _, _ in secrets.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+FROM documents d LEFT JOIN told USING (doc_id)"""
+
+
+ORACLES = {"op3_licenses": _OP3_SQL, "op4_warc": _OP4_SQL, "op6_secrets": _op6_sql(), "op1_chat": _op1_sql(), "op10_decontam": _OP10_SQL}
