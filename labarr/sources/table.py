@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, datetime, time
 
 import numpy as np
@@ -89,7 +90,9 @@ class TableFrame:
                 elif len(at):
                     moved = mapping(spark, at, "__at", position(d))  # (position, number)
                     grid = grid.join(F.broadcast(moved) if len(at) <= BROADCAST else moved, position(d)).drop(position(d)).withColumnRenamed("__at", position(d))
-            frame = grid.join(frame, names, "left")
+            # a cell has at most one row, so the wanted shape bounds what is broadcast
+            few = math.prod(len(at) for at in sizes) <= BROADCAST >> 2
+            frame = grid.join(F.broadcast(frame) if few else frame, names, "left")
         return frame.select(*(F.col(f"`{c}`") for c in names), *(F.col(f"`{n}`") for n in self.aggregates))
 
 
