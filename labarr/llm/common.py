@@ -51,9 +51,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/labarr-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that this process has written.
+_WRITTEN: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has written, and say how many. To be
+    called when no DataFrame that an operator returned is needed any more."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case for matching ASCII words, in the JVM.
 

@@ -19,6 +19,12 @@ def test_tables_go_to_the_shared_folder(spark):
     assert df.count() == 5 and folder in df.inputFiles()[0] and spark.conf.get("spark.checkpoint.dir") == folder
 
 
+def test_tables_can_be_dropped(spark):
+    path = common.materialize(spark.range(5), "gone").inputFiles()[0].removeprefix("file://")
+    assert pathlib.Path(path).exists() and common.drop_tables(spark) >= 1
+    assert not pathlib.Path(path).exists() and common.drop_tables(spark) == 0
+
+
 def test_batches_are_cut_by_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (5, 100, 1, 1, 200, 0)] + [None]})
     assert [b.num_rows for b in common.row_slices(iter([batch]), "text", 50)] == [1, 1, 2, 1, 2]
