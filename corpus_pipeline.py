@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labarr.llm import bpe, decontam, quality, queries, secrets, simhash
+from labarr.llm import bpe, decontam, quality, queries, secrets, similar
 from labarr.llm.common import T, materialize
 
 
@@ -21,8 +21,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.deduplicate(docs)
+    """One document, the one with the smallest id, of each group that five-word shingles with
+    a Jaccard similarity of 0.8 or more connect."""
+    return similar.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
