@@ -63,8 +63,9 @@ def terms(data: bytes) -> np.ndarray:
 class Model:
     """idf: weights of terms; axes: TERMS x latent; points, votes: the labelled vectors."""
 
-    def __init__(self, sample: list[bytes], labels: list[int], latent: int = LATENT):
-        x = np.stack([terms(d) for d in sample])
+    def __init__(self, sample: list[bytes] | list[np.ndarray], labels: list[int], latent: int = LATENT):
+        """``sample`` has texts, or what ``terms`` gives of them."""
+        x = np.stack([terms(d) if isinstance(d, bytes) else d for d in sample])
         held = (x > 0).sum(axis=0)
         self.idf = np.where(held > 0, np.log((1 + len(x)) / (1 + held)) + 0.1, 0).astype(np.float32)
         x *= self.idf
@@ -104,15 +105,30 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     labels that are null or not 0 or 1 are left out."""
     told = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     chosen = sampled(told.select(F.col(key).alias(f"{T}key"), F.col(label).cast("int").alias("label")), told.count(), sample, f"{T}key").groupBy(f"{T}key").agg(F.min("label").alias("label"))
-    rows = df.select(F.col(key).alias(f"{T}key"), F.substring(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"), 1, LONGEST).alias("data"))
-    # the sample bounds the broadcast side, and with it what comes to the driver
-    got = rows.join(F.broadcast(chosen), f"{T}key").limit(2 * sample).select("data", "label")
-    learned = sorted((bytes(r["data"]), r["label"]) for r in got.toLocalIterator())
-    return Model([d for d, _ in learned], [v for _, v in learned]) if learned else None
+    rows = df.select(F.col(key).alias(f"{T}key"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("data"))
+    # the sample bounds the broadcast side; whole texts become vectors where they are read,
+    # and only these, of a size that no text exceeds, come to the driver
+    got = _vectors(small_batches(rows).join(F.broadcast(chosen), f"{T}key").select("data", "label")).limit(2 * sample)
+    learned = sorted((bytes(r["places"]), bytes(r["weights"]), r["label"]) for r in got.toLocalIterator())
+    return Model([_dense(p, w) for p, w, _ in learned], [v for _, _, v in learned]) if learned else None
 
 
-#: Bytes of a labelled text that are learned from; scored texts are always read whole.
-LONGEST = 1 << 16
+def _vectors(rows: DataFrame) -> DataFrame:
+    """label, and the terms of data that are not zero: their places and weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(x, np.flatnonzero(x)) for x in map(terms, batch.column("data").to_pylist())]
+            made = [[at.astype("<u2").tobytes() for _, at in found], [x[at].astype("<f4").tobytes() for x, at in found]]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(m, pa.binary()) for m in made)], names=["label", "places", "weights"])
+
+    return rows.mapInArrow(run, "label int, places binary, weights binary")
+
+
+def _dense(places: bytes, weights: bytes) -> np.ndarray:
+    out = np.zeros(TERMS, np.float32)
+    out[np.frombuffer(places, "<u2")] = np.frombuffer(weights, "<f4")
+    return out
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.3, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
