@@ -99,9 +99,14 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20
             yield batch.slice(start)
 
 
-def sampled(df: DataFrame, total: int, most: int, *key: str) -> DataFrame:
-    """About ``most`` of ``total`` rows, chosen by the hash of ``key``: the same ones
-    however the rows are spread, and no more than ``most`` of them gathered anywhere. The
-    limit only holds where many rows share a key."""
+def chosen(total: int, most: int, *key: str) -> Column:
+    """True for about ``most`` of ``total`` rows, by the hash of ``key``: the same ones
+    however the rows are spread."""
     share = 1 << 30 if total <= most else (most << 30) // total
-    return df.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share).limit(2 * most)
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share
+
+
+def sampled(df: DataFrame, total: int, most: int, *key: str) -> DataFrame:
+    """About ``most`` of ``total`` rows, those ``chosen``, and no more than ``most`` of
+    them gathered anywhere. The limit only holds where many rows share a key."""
+    return df.filter(chosen(total, most, *key)).limit(2 * most)

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, held_out, sampled, small_batches
+from .common import T, chosen, held_out, small_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Labelled documents learned from, about, and bytes of each.
+#: Labelled documents learned from, about, and bytes of each, in windows from all over it.
 SAMPLE, LEARNED = 4096, 4 * WINDOW
 _LETTER = regex.compile(r"\p{L}")
 
@@ -30,6 +30,23 @@ def windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
+def spread(data: bytes) -> bytes:
+    """LEARNED bytes of a longer text: windows evenly from its first to its last bytes, of
+    whole characters, each filled up with zeros."""
+    if len(data) <= LEARNED:
+        return data
+    out, n = [], LEARNED // WINDOW
+    for k in range(n):
+        a = k * (len(data) - WINDOW) // (n - 1)
+        b = a + WINDOW
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(data[a:b].ljust(WINDOW, b"\0"))
+    return b"".join(out)
+
+
 class Network:
     """tables[w][j]: 256 x FILTERS, what byte j of a filter of width w adds."""
 
@@ -114,18 +131,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Network | None:
-    """A network from about ``sample`` labelled rows, chosen by hash, and LEARNED bytes of
-    each; None without a labelled text."""
+    """A network from about ``sample`` labelled rows, chosen by hash, and windows of
+    LEARNED bytes from the whole length of each; None without a labelled text."""
     told = labelled.filter(F.col(lang).isNotNull())
-    rows = told.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.encode(F.substring(F.col(text).cast("string"), 1, LEARNED), "UTF-8").alias("data"))
-    rows = sampled(rows, told.count(), sample, "key", "data").filter(F.length("data") > 0).toPandas()
+    rows = small_batches(told).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.encode(F.col(text).cast("string"), "UTF-8").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([spread(d) for d in batch.column("data").to_pylist()], pa.binary())], names=["lang", "data"])
+
+    # whole texts are read where they are; only the windows come to the driver
+    held = rows.filter(chosen(told.count(), sample, "key", "data") & (F.length("data") > 0)).select("lang", "data")
+    rows = held.mapInArrow(run, "lang string, data binary").limit(2 * sample).toPandas()
     if not len(rows):
         return None
     rows["data"] = [bytes(d) for d in rows["data"]]
     rows = rows.sort_values(["data", "lang"])
     labels = sorted(set(rows["lang"]))
     net = Network(labels)
-    parts = [windows(d[:LEARNED]) for d in rows["data"]]
+    parts = [windows(d) for d in rows["data"]]
     y = np.repeat([labels.index(x) for x in rows["lang"]], [len(p) for p in parts])
     net.train(np.concatenate(parts), y)
     net.freeze()
