@@ -42,21 +42,21 @@ TERMS = _TRIPLES + 3 * _STEPS
 
 
 def terms(data: bytes) -> np.ndarray:
-    """Term weights of one whole text: root of relative counts, length 1; zeros if empty."""
+    """Term weights of one whole text: root of relative counts, length 1. Texts of fewer
+    than three bytes have no triples, only the steps."""
     out = np.zeros(TERMS, np.float32)
     c = np.frombuffer(data.translate(_CLASS), np.uint8)
     if len(c) >= 3:
         for a in range(0, len(c) - 2, 1 << 20):
             part = c[a : a + (1 << 20) + 2].astype(np.int32)
             out[:_TRIPLES] += np.bincount((part[:-2] * (_KINDS * _KINDS) + part[1:-1] * _KINDS + part[2:]) % _TRIPLES, minlength=_TRIPLES)
-    if (total := out.sum()) > 0:
-        out /= total
-        words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
-        counts = (1 - len(set(words)) / len(words) if words else 0, 1 - len(set(lines)) / len(lines) if lines else 0, min(1.0, np.log1p(len(data)) / 14))
-        for k, share in enumerate(counts):
-            out[_TRIPLES + k * _STEPS + min(_STEPS - 1, int(share * _STEPS))] = 0.02
-        out = np.sqrt(out)
-        out /= np.linalg.norm(out)
+        out /= out.sum()
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    counts = (1 - len(set(words)) / len(words) if words else 0, 1 - len(set(lines)) / len(lines) if lines else 0, min(1.0, np.log1p(len(data)) / 14))
+    for k, share in enumerate(counts):
+        out[_TRIPLES + k * _STEPS + min(_STEPS - 1, int(share * _STEPS))] = 0.02
+    out = np.sqrt(out)
+    out /= np.linalg.norm(out)
     return out
 
 
@@ -80,7 +80,7 @@ class Model:
 
     def scores(self, texts: list[bytes], neighbours: int = NEIGHBOURS, sharp: int = 8) -> np.ndarray:
         """Votes of the nearest labelled vectors, weighted by the cosine's power ``sharp``.
-        Texts without a term get the share of label 1."""
+        Texts that are near to none get the share of label 1."""
         out = np.full(len(texts), self.prior)
         k = min(neighbours, len(self.points))
         for a in range(0, len(texts), 128):
@@ -134,8 +134,8 @@ def _dense(places: bytes, weights: bytes) -> np.ndarray:
 def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.3, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep``, score (0 to 1) and predicted (1 if score >= ``least``), named as in ``out``.
 
-    Null and empty texts, and all texts without a model, get the learned share of label
-    1 (0.5 without a model). Ties between neighbours are cut arbitrarily but alike for
+    Null texts are empty ones, on which labelled texts as short vote. Texts near to no
+    labelled one get the learned share of label 1, all texts without a model 0.5. Ties between neighbours are cut arbitrarily but alike for
     equal texts. Rows are independent; an empty table gives no rows.
     """
     rows = small_batches(df).select(*keep, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias(f"{T}text"))

@@ -10,3 +10,10 @@ def test_labelled_texts_are_learned_from_whole(spark, docs):
     assert list(model.scores([junk.encode(), fine.encode()], neighbours=5)) == [0, 1]
     length = slice(quality.TERMS - quality._STEPS, None)
     assert ((quality.terms(junk.encode())[length] > 0) <= (model.idf[length] > 0)).all()
+
+
+def test_labelled_short_texts_vote_on_short_texts(spark, docs):
+    df = docs([(i, "good prose, nicely put. " * (5 + i % 9)) for i in range(60)] + [(i, ["", "x", "?!", None][i % 4]) for i in range(60, 100)] + [(100, None), (101, ""), (102, "y"), (103, ".."), (104, "good prose, nicely put. " * 6)])
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify(df, labels).collect()}
+    assert [got[k] for k in range(100, 105)] == [0, 0, 0, 0, 1]
