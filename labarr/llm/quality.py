@@ -63,18 +63,15 @@ def terms(data: bytes) -> np.ndarray:
 class Model:
     """idf: weights of terms; axes: TERMS x latent; points, votes: the labelled vectors."""
 
-    def __init__(self, sample: list[bytes] | list[np.ndarray], labels: list[int], latent: int = LATENT):
-        """``sample`` has texts, or what ``terms`` gives of them."""
+    def __init__(self, sample: list[bytes] | list[np.ndarray], labels: list[int], latent: int = LATENT, held: np.ndarray | None = None, total: int = 0):
+        """``sample`` has texts, or what ``terms`` gives of them. ``held`` says how many of
+        ``total`` texts have each term; if left out, that is counted in the sample."""
         x = np.stack([terms(d) if isinstance(d, bytes) else d for d in sample])
-        held = (x > 0).sum(axis=0)
-        self.idf = np.where(held > 0, np.log((1 + len(x)) / (1 + held)) + 0.1, 0).astype(np.float32)
+        if held is None:
+            held, total = (x > 0).sum(axis=0), len(x)
+        self.idf = np.where(held > 0, np.log((1 + total) / (1 + held)) + 0.1, 0).astype(np.float32)
         x *= self.idf
-        # left singular vectors of the smaller side, by its Gram matrix
-        used = np.argsort(-(x**2).sum(axis=0), kind="stable")[:1536]
-        gram = x[:, used].T @ x[:, used]
-        _, vectors = np.linalg.eigh(gram.astype(np.float64))
-        self.axes = np.zeros((TERMS, min(latent, len(used))), np.float32)
-        self.axes[used] = vectors[:, ::-1][:, : self.axes.shape[1]]
+        self.axes = _leading(x, latent)
         self.points, self.votes = _unit(x @ self.axes), np.asarray(labels, np.float64)
         self.prior = float(self.votes.mean())
 
@@ -94,6 +91,17 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def _leading(x: np.ndarray, n: int, more: int = 32, steps: int = 12) -> np.ndarray:
+    """The ``n`` leading right singular vectors of ``x``, over all its columns, by subspace
+    iteration with ``more`` vectors than that."""
+    width = min(n + more, *x.shape)
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((x.shape[1], width)).astype(np.float32))[0]
+    for _ in range(steps):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ turn.T)[:, :n].astype(np.float32)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return (x / np.where(n > 0, n, 1)).astype(np.float32)
@@ -110,7 +118,29 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     # and only these, of a size that no text exceeds, come to the driver
     got = _vectors(small_batches(rows).join(F.broadcast(chosen), f"{T}key").select("data", "label")).limit(2 * sample)
     learned = sorted((bytes(r["places"]), bytes(r["weights"]), r["label"]) for r in got.toLocalIterator())
-    return Model([_dense(p, w) for p, w, _ in learned], [v for _, _, v in learned]) if learned else None
+    if not learned:
+        return None
+    held, total = _frequencies(df, text)
+    return Model([_dense(p, w) for p, w, _ in learned], [v for _, _, v in learned], held=held, total=total)
+
+
+def _frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """In how many of all texts each term is, and the number of texts."""
+    rows = small_batches(df).select(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(TERMS + 1, np.int64)  # the last is the number of texts
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                held[:TERMS] += terms(data) > 0
+            held[TERMS] += batch.num_rows
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["term", "n"])
+
+    out = np.zeros(TERMS + 1, np.int64)
+    for r in rows.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out[:TERMS], int(out[TERMS])
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
