@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import T
+from .common import T, between, let, pieces, running
 
 #: The template's own marks.
 OPEN, BODY, NEXT, CLOSE = "<|open|>", "<|body|>", "<|next|>", "<|close|>"
@@ -31,17 +31,20 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _merge(df: DataFrame, turns: str, out: str) -> DataFrame:
-    """Add ``out``: array ``turns`` of {role, texts} with neighbours of one role made one."""
-    starts, n = f"{T}starts", F.size(turns)
-    item = lambda i: F.get(F.col(turns), i)
-    df = df.withColumn(starts, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (item(i)["role"] != item(i - 1)["role"])))
+def _merge(turns: Column) -> Column:
+    """Array of {role, texts} with neighbours of one role made one."""
+    item = lambda t, i: F.get(t, i)
 
-    def run(s: Column, k: Column) -> Column:
-        upto = F.coalesce(F.get(F.col(starts), k + 1), n)
-        return F.struct(item(s)["role"].alias("role"), F.flatten(F.transform(F.slice(turns, s + 1, upto - s), lambda t: t["texts"])).alias("texts"))
+    def over(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (item(t, i)["role"] != item(t, i - 1)["role"]))
 
-    return df.withColumn(out, F.transform(starts, run)).drop(starts, turns)
+        def run(s: Column, upto: Column) -> Column:
+            return F.struct(item(t, s)["role"].alias("role"), F.flatten(F.transform(F.slice(t, s + 1, upto - s), lambda x: x["texts"])).alias("texts"))
+
+        return let(starts, lambda at: F.transform(at, lambda s, k: run(s, F.coalesce(F.get(at, k + 1), n))))
+
+    return let(turns, over)
 
 
 def runs(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", bucket: int = 64) -> DataFrame:
@@ -56,9 +59,9 @@ def runs(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "
     rows = df.select(F.col(conv).alias(conv), F.floor(F.col(turn) / bucket).alias(f"{T}b"), F.struct(F.col(turn).alias("turn"), escape(r).alias("role"), escape(x).alias("text"), r.alias("raw_role"), x.alias("raw")).alias(f"{T}t"))
     fields = [F.col(f"{T}t.{c}") for c in ("turn", "raw_role", "raw", "role", "text")]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*fields))), lambda t: F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-    blocks = _merge(rows.groupBy(conv, f"{T}b").agg(ordered.alias(f"{T}turns")), f"{T}turns", f"{T}runs")
+    blocks = rows.groupBy(conv, f"{T}b").agg(_merge(ordered).alias(f"{T}runs"))
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(f"{T}b", f"{T}runs"))), lambda b: b[f"{T}runs"]))
-    return _merge(blocks.groupBy(conv).agg(whole.alias(f"{T}all")), f"{T}all", "runs")
+    return blocks.groupBy(conv).agg(_merge(whole).alias("runs"))
 
 
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -70,22 +73,20 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """
     merged = runs(df, conv, turn, role, text)
     block = lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(BODY), F.array_join(b["texts"], NEXT), F.lit(CLOSE))
-    learned = [F.lit(x) for x in learn]
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    spot = lambda start, x: F.struct(start.alias("start"), (start + F.length(x)).alias("end"))
+    size = lambda x: F.length(x).cast("long")
 
-    def within(acc: Column, x: Column) -> Column:
-        """acc: where the next text starts, and spans so far."""
-        return F.struct((acc["at"] + F.length(x) + len(NEXT)).alias("at"), F.concat(acc["spans"], F.array(spot(acc["at"], x))).alias("spans"))
+    def places(b: Column) -> Column:
+        """Of each text of a block what comes before it, its length, and what follows it."""
+        head, last = size(b["role"]) + len(OPEN) + len(BODY), F.size(b["texts"]) - 1
+        learned = F.coalesce(b["role"].isin(*learn), F.lit(False))
+        return F.transform(b["texts"], lambda x, k: F.struct(F.when(k == 0, head).otherwise(len(NEXT)).alias("lead"), size(x).alias("n"), F.when(k == last, len(CLOSE)).otherwise(0).alias("tail"), learned.alias("learned")))
 
-    def over(acc: Column, b: Column) -> Column:
-        head = acc["at"] + len(OPEN) + F.length(b["role"]) + len(BODY)
-        inner = F.aggregate(b["texts"], F.struct(head.cast("long").alias("at"), empty.alias("spans")), within)
-        spans = F.when(b["role"].isin(*learned), inner["spans"]).otherwise(empty)
-        return F.struct((acc["at"] + F.length(block(b))).cast("long").alias("at"), F.concat(acc["spans"], spans).alias("spans"))
+    def spans(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: x["lead"] + x["n"] + x["tail"]), lambda s, x: s + x)
+        every = F.zip_with(p, ends, lambda x, e: F.struct((e - x["tail"] - x["n"]).alias("start"), (e - x["tail"]).alias("end"), x["learned"].alias("learned")))
+        return F.transform(F.filter(every, lambda x: x["learned"]), lambda x: x.dropFields("learned"))
 
-    spans = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), over, lambda acc: acc["spans"])
-    return merged.select(conv, F.array_join(F.transform("runs", block), "").alias("formatted"), spans.alias("loss_spans"))
+    return merged.select(conv, F.array_join(F.transform("runs", block), "").alias("formatted"), let(F.flatten(F.transform("runs", places)), spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -101,4 +102,4 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    return let(pieces(formatted), lambda cut: F.array_join(F.transform(spans, lambda s: unescape(between(cut, s["start"], s["end"]))), ""))

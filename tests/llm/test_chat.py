@@ -60,3 +60,14 @@ def test_query_has_the_planted_conversation(spark):
     assert got["loss_sha256"] == hashlib.sha256(say.encode()).hexdigest()
 
 
+def test_very_long_conversations(spark):
+    """Work grows in proportion to the turns of one conversation; places stay exact."""
+    n = 20_000
+    role, text = F.when(F.col("id") % 3 == 1, "assistant").otherwise("user"), F.concat(F.lit("é 🙂 </s>"), F.col("id").cast("string"))
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    done = chat.format_chat(df)
+    r = done.withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans"))).withColumn("turns", chat.read_turns(F.col("formatted"))).first()
+    assert r["loss"] == "".join(f"é 🙂 </s>{i}" for i in range(n) if i % 3 == 1)
+    assert [t["text"] for t in r["turns"]] == [f"é 🙂 </s>{i}" for i in range(n)]
+    for s in (r["loss_spans"][0], r["loss_spans"][-1]):
+        assert r["formatted"][s["start"] : s["end"]].startswith("é 🙂 <\\/s>")
