@@ -167,11 +167,11 @@ def _op6_sql() -> str:
     base = len(secrets.BASE)
     return f"""
 WITH spans AS ({' UNION ALL '.join(parts)}),
-held AS (SELECT k, count(DISTINCT source) AS owners FROM spans GROUP BY k),
-seen AS (SELECT spans.*, owners FROM spans JOIN held USING (k)),
+held AS (SELECT k, count(DISTINCT source) <= 2 AND count(DISTINCT doc_id) <= 8 AS live FROM spans GROUP BY k),
+seen AS (SELECT spans.*, live FROM spans JOIN held USING (k)),
 told AS (SELECT doc_id, {', '.join(f"count(*) FILTER (rank = {r}) AS n_{k}" for r, (k, _, _) in enumerate(secrets.BASE))},
-  string_agg({mark}, ',' ORDER BY s, rank) FILTER (rank < {base}) AS b, string_agg({mark}, ',' ORDER BY s, rank, s + size, kind) FILTER (rank < {base} OR owners <= 2) AS a,
-  count(*) FILTER (owners <= 2) AS n_live, count(*) FILTER (owners > 2) AS n_example FROM seen GROUP BY doc_id)
+  string_agg({mark}, ',' ORDER BY s, rank) FILTER (rank < {base}) AS b, string_agg({mark}, ',' ORDER BY s, rank, s + size, kind) FILTER (rank < {base} OR live) AS a,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM seen GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k, _, _ in secrets.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
 FROM documents d LEFT JOIN told USING (doc_id)"""
 

@@ -60,3 +60,34 @@ def test_nulls_repeats_and_empty_tables(docs):
     assert sorted(r["n_assign"] for r in secrets.scan(df).collect()) == [0, 0, 1]
     assert secrets.scan(df.limit(0)).collect() == []
     assert secrets.scan(df, owner=None, repo=None).count() == 3
+
+
+def test_very_many_secrets_in_one_text(docs):
+    """Work grows in proportion to the matches of one text; places stay exact."""
+    n = 10_000
+    text = " ".join(f"é🙂 token={i:032x}" for i in range(n))
+    got = scan(docs([(1, text)]))[1]
+    spans, counts = brute(text)
+    assert [got["n_assign"], got["n_access"], got["n_hex"]] == counts == [n, 0, n]
+    assert got["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+    assert secrets.mask(docs([(1, text)])).first()["text"] == " ".join(["é🙂 [SECRET]"] * n)
+
+
+def test_masks_equal_brute_force(docs):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    got = {r["doc_id"]: r["text"] for r in secrets.mask(docs(rows)).collect()}
+    found = {k: r["found"] for k, r in scan(docs(rows)).items()}
+    for k, t in rows:
+        out, at = "", 0
+        for a, b in sorted((s["start"], s["end"]) for s in found[k]):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert got[k] == ((out + t[at:]) if found[k] else t)
+
+
+def test_an_example_that_one_owner_copies_widely_is_no_live_secret(spark):
+    copied, mine = "ghp_" + "aB3" * 12, "ghp_" + "xY9" * 12
+    rows = [(i, f"see {copied} here", "one") for i in range(20)] + [(100, mine, "one")]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got[3]["n_live"] == 0 and got[3]["spans"] == "" and got[100]["n_live"] > 0 and "github" in got[100]["spans"]
