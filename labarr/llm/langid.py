@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, chosen, held_out, small_batches
+from .common import T, chosen, drop_tables, held_out, materialize, row_slices, sampled_whole, small_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Labelled documents learned from, about, and bytes of each, in windows from all over it.
-SAMPLE, LEARNED = 4096, 4 * WINDOW
+#: Labelled documents learned from, at most, and bytes of their whole texts together.
+SAMPLE, ROOM = 2048, 8 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -30,23 +30,6 @@ def windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def spread(data: bytes) -> bytes:
-    """LEARNED bytes of a longer text: windows evenly from its first to its last bytes, of
-    whole characters, each filled up with zeros."""
-    if len(data) <= LEARNED:
-        return data
-    out, n = [], LEARNED // WINDOW
-    for k in range(n):
-        a = k * (len(data) - WINDOW) // (n - 1)
-        b = a + WINDOW
-        while a < b and data[a] & 0xC0 == 0x80:
-            a += 1
-        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
-            b -= 1
-        out.append(data[a:b].ljust(WINDOW, b"\0"))
-    return b"".join(out)
-
-
 class Network:
     """tables[w][j]: 256 x FILTERS, what byte j of a filter of width w adds."""
 
@@ -70,10 +53,12 @@ class Network:
             out.append(np.take_along_axis(z, at[w][:, None], axis=1)[:, 0])
         return np.concatenate(out, axis=1), at
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam on weighted cross-entropy: labels weigh the same however rare."""
+    def train(self, x: np.ndarray, y: np.ndarray, share: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
+        """Adam on weighted cross-entropy of windows ``x``; ``share`` is a window's part of
+        its text. Texts weigh the same however long, labels however rare."""
         rng = np.random.default_rng(seed)
-        weight = len(y) / (len(self.labels) * np.maximum(1, np.bincount(y, minlength=len(self.labels))))
+        texts = np.bincount(y, share, minlength=len(self.labels))
+        weight = (share * (len(y) / len(self.labels) / np.maximum(texts, 1e-9))[y]).astype(np.float32)
         params = [*self.tables.values(), self.dense, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
@@ -86,7 +71,7 @@ class Network:
                 act = np.tanh(h)
                 d = _softmax(act @ self.dense + self.bias)
                 d[np.arange(n), yb] -= 1
-                d *= (weight[yb] / n)[:, None].astype(np.float32)
+                d *= (weight[rows] / n)[:, None]
                 back = (d @ self.dense.T) * (1 - act**2)
                 grads = []
                 for k, (w, table) in enumerate(self.tables.items()):
@@ -130,28 +115,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Network | None:
-    """A network from about ``sample`` labelled rows, chosen by hash, and windows of
-    LEARNED bytes from the whole length of each; None without a labelled text."""
-    told = labelled.filter(F.col(lang).isNotNull())
-    rows = small_batches(told).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.encode(F.col(text).cast("string"), "UTF-8").alias("data"))
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, room: int = ROOM) -> Network | None:
+    """A network from the whole texts of up to ``sample`` labelled rows, chosen by their
+    key's hash, of at most ``room`` bytes together; None without a labelled text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([spread(d) for d in batch.column("data").to_pylist()], pa.binary())], names=["lang", "data"])
-
-    # whole texts are read where they are; only the windows come to the driver
-    held = rows.filter(chosen(told.count(), sample, "key", "data") & (F.length("data") > 0)).select("lang", "data")
-    rows = held.mapInArrow(run, "lang string, data binary").limit(2 * sample).toPandas()
-    if not len(rows):
+    Of a key's labelled texts the one that sorts first (by label, then text) counts.
+    """
+    rows = labelled.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.encode(F.col(text).cast("string"), "UTF-8").alias("data")).filter((F.length("data") > 0) & F.col("lang").isNotNull())
+    # a key that many rows share is reduced to one text where its rows are read
+    some = rows.filter(chosen(rows.count(), 8 * sample, "key")).groupBy("key").agg(F.min(F.struct("lang", "data")).alias("x"))
+    held = materialize(some.select("key", "x.*", F.length("x.data").alias("size")), "langid-sample")
+    got = sorted((bytes(r["data"]), r["lang"]) for r in sampled_whole(held, sample, room, "size", "key").select("lang", "data").toLocalIterator())
+    drop_tables(labelled.sparkSession, [held])
+    if not got:
         return None
-    rows["data"] = [bytes(d) for d in rows["data"]]
-    rows = rows.sort_values(["data", "lang"])
-    labels = sorted(set(rows["lang"]))
+    labels = sorted({x for _, x in got})
     net = Network(labels)
-    parts = [windows(d) for d in rows["data"]]
-    y = np.repeat([labels.index(x) for x in rows["lang"]], [len(p) for p in parts])
-    net.train(np.concatenate(parts), y)
+    parts = [windows(d) for d, _ in got]
+    sizes = np.array([len(p) for p in parts])
+    net.train(np.concatenate(parts), np.repeat([labels.index(x) for _, x in got], sizes), np.repeat(1.0 / sizes, sizes))
     net.freeze()
     return net
 
@@ -169,28 +151,33 @@ def predict(df: DataFrame, net: Network | None, text: str = "text", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            got = [_one(own, t) for t in batch.column(f"{T}text").to_pylist()]
+        for batch in row_slices(batches, f"{T}text", 1 << 20):
+            got = _told(own, batch.column(f"{T}text").to_pylist())
             made = [pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _one(net: Network | None, text: str) -> tuple[str, float]:
-    if net is None or not _LETTER.search(text):
-        return "und", 0.0
-    data = text.encode("utf-8", "surrogatepass")
-    total, weight = np.zeros(len(net.labels)), 0
-    for a in range(0, len(data), 64 * WINDOW):
-        part = windows(data[a : a + 64 * WINDOW])
-        held = np.full(len(part), float(WINDOW))
-        held[-1] -= len(part) * WINDOW - min(64 * WINDOW, len(data) - a)
-        total += held @ net.predict(part)
-        weight += held.sum()
-    p = total / weight
-    k = int(p.argmax())
-    return net.labels[k], float(min(1.0, max(0.0, p[k])))
+def _told(net: Network | None, texts: list[str]) -> list[tuple[str, float]]:
+    """Language and score of each text. The windows of all texts are predicted together."""
+    out = [("und", 0.0)] * len(texts)
+    at = [i for i, t in enumerate(texts) if net is not None and _LETTER.search(t)]
+    if not at:
+        return out
+    parts, held = [], []
+    for i in at:
+        data = texts[i].encode("utf-8", "surrogatepass")
+        parts.append(windows(data))
+        size = np.full(len(parts[-1]), float(WINDOW))
+        size[-1] = len(data) - WINDOW * (len(size) - 1)
+        held.append(size)
+    first = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    weight = np.concatenate(held)
+    p = np.add.reduceat(net.predict(np.concatenate(parts)) * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
+    for i, k, row in zip(at, p.argmax(axis=1), p, strict=True):
+        out[i] = (net.labels[k], float(min(1.0, max(0.0, row[k]))))
+    return out
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -25,7 +25,7 @@ def test_long_texts_are_read_whole():
     held = np.full(len(whole), 256.0)
     held[-1] = len(text) % 256 or 256
     want = held @ p / held.sum()
-    assert langid._one(net, text)[1] == pytest.approx(want.max(), abs=1e-6)
+    assert langid._told(net, [text])[0][1] == pytest.approx(want.max(), abs=1e-6)
 
 
 def test_language_accuracy_on_held_out_documents(spark):
