@@ -1,8 +1,8 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints are cut into two halves. Two that differ in at most 3 bits differ in at most
-one bit of some half, so the 33 values of the Hamming ball of radius 1 around each half
-meet the other fingerprint in that half's table; complete distances verify.
+one bit of some half, so the values of the Hamming ball of radius 1 around a half meet the
+other fingerprint in that half's table; complete distances verify.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -22,7 +22,7 @@ from .components import components
 
 #: Bits of a half, and the distance up to which fingerprints link.
 HALF, DISTANCE = 32, 3
-#: Distinct fingerprints of one table bucket that a task compares at once.
+#: Distinct fingerprints of a bucket beyond which it is a table of its own.
 BLOCK = 4096
 
 
@@ -60,30 +60,65 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return rows.mapInArrow(run, schema)
 
 
+def _cleared(key: Column, bits: int) -> Column:
+    """``key`` with one of its set bits cleared, for each of them. Of two keys that differ
+    in one bit one has it set: its holder alone looks the other up."""
+    flips = F.array(*(F.lit(1 << b) for b in range(bits)))
+    return F.transform(F.filter(flips, lambda m: key.bitwiseAND(m) != 0), lambda m: key.bitwiseXOR(m))
+
+
 def _entries(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Table rows and ball rows (half, key, id, fp) of distinct fingerprints."""
+    """Table rows and looked-up rows (half, key, id, fp) of distinct fingerprints."""
     low = F.expr(f"fp & {(1 << HALF) - 1}L")
     high = F.shiftrightunsigned("fp", HALF)
     halves = points.select("id", "fp", F.explode(F.array(F.struct(F.lit(0).alias("half"), low.alias("key")), F.struct(F.lit(1).alias("half"), high.alias("key")))).alias("h"))
     table = halves.select("h.half", "h.key", "id", "fp")
-    flips = F.array(*(F.lit(1 << b) for b in range(HALF)))
-    ball = table.select("half", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))).alias("key"), "id", "fp")
-    return table, ball
+    return table, table.select("half", F.explode(_cleared(F.col("key"), HALF)).alias("key"), "id", "fp")
 
 
-def _blocked(table: DataFrame, ball: DataFrame, block: int) -> DataFrame:
-    """All entries with the block of their bucket they belong to: buckets of more than
-    ``block`` rows are cut by hash, and what is compared with them goes to every part."""
-    crowded = materialize(table.groupBy("half", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("half", "key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "simhash-crowded")
-    own, other = table.withColumn("part", F.lit(0)), ball.withColumn("part", F.lit(0))
+def _bucketed(table: DataFrame, ball: DataFrame, block: int) -> DataFrame:
+    """half, key, sub, id, fp, home: rows that stand in a bucket (home) or look it up.
+
+    Buckets of more than ``block`` rows are tables of their own, of the two quarters of
+    the other half: members that differ in 3 bits at most, and what is looked up with 2
+    left, differ in at most one bit of some quarter. So 48 bits name such a sub-bucket,
+    and it can not hold more than 2^16 fingerprints.
+    """
+    own, other = table.withColumn("home", F.lit(True)), ball.withColumn("home", F.lit(False))
+    rows = own.unionByName(other)
+    crowded = materialize(table.groupBy("half", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("half", "key", F.lit(True).alias("crowded")), "simhash-crowded")
     if crowded.isEmpty():
-        return own.withColumn("home", F.lit(True)).unionByName(other.withColumn("home", F.lit(False)))
-    parts = F.coalesce("parts", F.lit(1))
-    own = table.join(crowded, ["half", "key"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("home", F.lit(True)).drop("parts")
-    # members of other parts of the same bucket are compared too
-    again = table.join(crowded, ["half", "key"]).unionByName(ball.join(crowded, ["half", "key"], "left"))
-    other = again.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("home", F.lit(False)).drop("parts")
-    return own.unionByName(other)
+        return rows.withColumn("sub", F.lit(0))
+    quarter, rest = HALF // 2, F.when(F.col("half") == 0, F.shiftrightunsigned("fp", HALF)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1)))
+    spot = lambda q, value, home: F.struct((value + ((1 + q) << quarter)).cast("int").alias("sub"), home.alias("home"))
+    spots = []
+    for q in (0, 1):
+        value = F.shiftright(rest, q * quarter).bitwiseAND(F.lit((1 << quarter) - 1))
+        flips = F.array(*(F.lit(1 << b).cast("long") for b in range(quarter)))
+        around = F.when(F.col("home"), _cleared(value, quarter)).otherwise(F.transform(flips, lambda m: value.bitwiseXOR(m)))
+        spots += [F.array(spot(q, value, F.col("home"))), F.transform(around, lambda v: spot(q, v, F.lit(False)))]
+    told = rows.join(crowded, ["half", "key"], "left")
+    at = F.when(F.col("crowded"), F.concat(*spots)).otherwise(F.array(F.struct(F.lit(0).alias("sub"), F.col("home").alias("home"))))
+    return told.select("half", "key", "id", "fp", F.explode(at).alias("x")).select("half", "key", "id", "fp", "x.home", "x.sub")
+
+
+class _Bucket:
+    """The home rows of one bucket and a spanning forest of their links."""
+
+    def __init__(self, key: np.ndarray):
+        self.key, self.n, self.roots = key, 0, []
+        self.ids, self.fps = np.zeros(16, np.int64), np.zeros(16, np.uint64)
+
+    def meet(self, own: int, fp: np.uint64, home: bool) -> list[tuple[int, int]]:
+        near = np.flatnonzero(np.bitwise_count(self.fps[: self.n] ^ fp) <= DISTANCE)
+        made = _attach(self.roots, self.ids, near, own) if len(near) else []
+        if home:
+            if self.n == len(self.ids):
+                self.ids, self.fps = np.resize(self.ids, 2 * self.n), np.resize(self.fps, 2 * self.n)
+            self.ids[self.n], self.fps[self.n] = own, fp
+            self.roots.append(_root(self.roots, int(near[0])) if len(near) else self.n)
+            self.n += 1
+        return made
 
 
 def links(points: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -92,35 +127,28 @@ def links(points: DataFrame, block: int = BLOCK) -> DataFrame:
     ``points`` has distinct ``fp`` and an ``id`` each. Within a bucket only the links of
     a spanning forest are returned, never all pairs of a group.
     """
-    rows = _blocked(*_entries(points), block)
+    rows = _bucketed(*_entries(points), block).select("half", "key", "sub", "id", "fp", "home")
     # a bucket's home rows come first, then what is looked up in it
-    dealt = rows.repartition("half", "key", "part").sortWithinPartitions("half", "key", "part", F.desc("home"))
+    dealt = rows.repartition("half", "key", "sub").sortWithinPartitions("half", "key", "sub", F.desc("home"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, ids, fps, roots = None, None, None, None
+        bucket = None
         for frame in batches:
-            keys = frame[["half", "key", "part"]].to_numpy()
+            if not len(frame):
+                continue
+            keys = frame[["half", "key", "sub"]].to_numpy()
             home, fp, own = frame["home"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["id"].to_numpy()
-            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(frame) else np.array([], int)
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
             ends = np.append(cuts[1:], len(frame))
             # buckets that begin and end in this batch with one row, or with no home row, hold no pair
-            busy = (ends - cuts > 1) & home[cuts] if len(cuts) else np.array([], bool)
-            for edge in (0, len(cuts) - 1):
-                if len(cuts):
-                    busy[edge] = True
-            made: list[np.ndarray] = []
+            busy = (ends - cuts > 1) & home[cuts]
+            busy[[0, -1]] = True
+            made: list[tuple[int, int]] = []
             for a, b in zip(cuts[busy], ends[busy], strict=True):
-                if bucket is None or (keys[a] != bucket).any():
-                    bucket, ids, fps, roots = keys[a].copy(), own[:0], fp[:0], []
-                h = a + int(home[a:b].sum())
+                if bucket is None or (keys[a] != bucket.key).any():
+                    bucket = _Bucket(keys[a].copy())
                 for i in range(a, b):
-                    near = np.flatnonzero(np.bitwise_count(fps ^ fp[i]) <= DISTANCE) if len(fps) else ()
-                    if i < h:  # a home row joins the bucket's forest
-                        made += _attach(roots, ids, near, own[i])
-                        ids, fps = np.append(ids, own[i]), np.append(fps, fp[i])
-                        roots.append(len(roots)) if not len(near) else roots.append(_root(roots, near[0]))
-                    elif len(near):
-                        made += _attach(roots, ids, near, own[i])
+                    made += bucket.meet(int(own[i]), fp[i], bool(home[i]))
             if made:
                 yield pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 

@@ -74,6 +74,19 @@ def test_links_connect_what_all_pairs_connect(spark, block):
     assert group(edges) == group(truth)
 
 
+def test_crowded_buckets_connect_what_all_pairs_connect(spark):
+    """One half is the same in all fingerprints, or a bit off; the other is dense."""
+    rng = np.random.default_rng(6)
+    low = {int(x) & 0xFFFFFFFF for x in rng.integers(0, 1 << 12, 700)} | {int(x) << 20 for x in rng.integers(0, 1 << 11, 300)}
+    fps = sorted({(9 << 32) | x for x in low} | {(11 << 32) | x ^ 3 for x in list(low)[::7]} | {(8 << 32) | x for x in list(low)[::5]})
+    points = spark.createDataFrame([(f, f) for f in fps], "id long, fp long")
+    edges = [(r["a"], r["b"]) for r in simhash.links(points, 16).collect()]
+    assert all((a ^ b).bit_count() <= 3 and a != b for a, b in edges)
+    truth = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3]
+    group = lambda pairs: sorted(map(tuple, _groups(union(pairs, fps))))
+    assert group(edges) == group(truth) and len(edges) < len(truth) / 4
+
+
 def _groups(roots):
     out = {}
     for k, r in roots.items():
