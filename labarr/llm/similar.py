@@ -1,8 +1,12 @@
-"""Near-duplicates by exact similarity of shingle sets.
+"""SimHash near-duplicates of documents, made complete for similar shingle sets.
 
 Two texts link if the Jaccard similarity of their sets of five-word shingles is at least
-4/5. Then they share a shingle among the first fifth of either set, in any order that is
-the same for all sets: these prefixes meet by shingle, and complete sets verify.
+4/5. Multi-index hashing of the sets' SimHash fingerprints gives first candidates, which
+complete sets verify. But most such pairs differ in more bits than any table can look up,
+so the candidates that are still missing come from an exact rule: similar sets share a
+shingle among the first fifth of either, in any order that is the same for all sets.
+Sketches of a bit or two a shingle reject nearly all candidates that are not similar, and
+never one that is; complete sets verify the rest.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import T, materialize, row_slices, sampled, small_batches
+from .common import T, drop_tables, materialize, row_slices, sampled, small_batches
 from .components import components
+from .simhash import links as near_links
 
 #: Words of a shingle.
 WIDTH = 5
@@ -26,6 +31,8 @@ WIDTH = 5
 SAMPLE, FREQUENT = 8192, 1 << 18
 #: Neighbours of a set that are verified before all others are looked for.
 FIRST = 4
+#: Bits of a fingerprint up to which sets are first candidates.
+NEAR = 3
 #: Rows of numbers that are broadcast, so that texts need not be moved to meet them.
 MOST = 1 << 20
 #: Names of sets a task remembers.
@@ -56,6 +63,24 @@ def prefix(own: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, rank))[:n]]
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the hashes that fall on each of 2^k >= len(own) bits (64 at least), as
+    words. A hash that only one of two sets holds changes one bit, so two sketches differ
+    in no more bits than the sets have different shingles."""
+    n = max(64, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount(own & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(own), 1 << 14):
+        part = own[a : a + (1 << 14)]
+        ones += np.unpackbits(part.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own)).view(">i8")[0])
+
+
 def _map(rows: DataFrame, make, schema: str) -> DataFrame:
     """Rows of ``schema`` from each (row, text as bytes) of ``rows``; ``make`` gives the
     columns of one text."""
@@ -78,7 +103,7 @@ def _map(rows: DataFrame, make, schema: str) -> DataFrame:
     def flush(parts: list[tuple]) -> pa.RecordBatch:
         columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in zip(*parts, strict=True)]
         parts.clear()
-        kinds = {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}  # of sets and sketches
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(columns, fields, strict=True)], names=fields.names)
 
     return rows.mapInArrow(run, fields)
@@ -91,7 +116,7 @@ def _id(own: np.ndarray) -> int:
 
 def _print(row, text, state):
     own = shingles(text)
-    return [row["r"]], [row["k"]], [_id(own)]
+    return [row["r"]], [row["k"]], [_id(own)], [fingerprint(own)], [len(own)], [sketch(own)]
 
 
 def _frequent(rows: DataFrame, points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -141,40 +166,67 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST else df
 
 
+def _folded(words: Column, n: Column) -> Column:
+    """A sketch folded to ``n`` words, which is one of as many bits."""
+    parts = F.call_function("div", F.size(words), n).cast("int")
+    return F.when(parts <= 1, words).otherwise(F.transform(F.slice(words, 1, n), lambda w, i: F.aggregate(F.sequence(F.lit(1), parts - 1), w, lambda x, k: x.bitwiseXOR(F.get(words, i + k * n)))))
+
+
+def _likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and sketches allow similar sets. Sets are
+    similar if no more than a ninth of their sizes' sum is different."""
+    of = points.select("id", "size", "sketch")
+    both = pairs.join(of.toDF("a", "m", "x"), "a").join(of.toDF("b", "n", "y"), "b")
+    both = both.filter(5 * F.least("m", "n") >= 4 * F.greatest("m", "n"))
+    words = F.least(F.size("x"), F.size("y"))
+    apart = F.aggregate(F.zip_with(_folded(F.col("x"), words), _folded(F.col("y"), words), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return both.filter(9 * apart <= F.col("m") + F.col("n")).select("a", "b")
+
+
 def _verified(rows: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose complete sets are similar."""
-    pairs = materialize(pairs, "similar-pairs")
+    pairs = materialize(_likely(pairs, points), "similar-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    of = _few(materialize(points.join(ids, "id").select(F.col("first.r").alias(f"{T}row")), "similar-ids"))
+    few = materialize(points.join(ids, "id").select(F.col("first.r").alias(f"{T}row")), "similar-ids")
 
     def make(row, text, state):
         own = shingles(text)
         return [_id(own)], [own]
 
-    sets = materialize(_map(rows.join(of, f"{T}row", "left_semi"), make, "id bigint, own array<bigint>"), "similar-sets")
+    sets = materialize(_map(rows.join(_few(few), f"{T}row", "left_semi"), make, "id bigint, own array<bigint>"), "similar-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     alike = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    return materialize(both.filter(alike).select("a", "b"), "similar-links")
+    found = materialize(both.filter(alike).select("a", "b"), "similar-links")
+    drop_tables(rows.sparkSession, (pairs, few, sets))
+    return found
 
 
 def links(rows: DataFrame, points: DataFrame) -> DataFrame:
     """Edges (a, b) that connect whatever sets of similarity 4/5 or more connect.
 
-    Each set is first compared with a few neighbours. Pairs that these links connect need
-    no more comparison, so a large group of similar texts never costs all its pairs; all
-    others that share a shingle of their prefixes are compared.
+    Candidates of near fingerprints and a few neighbours of each set are verified first.
+    Pairs that these links connect need no more comparison, so a large group of similar
+    texts never costs all its pairs; all others that share a shingle of their prefixes are
+    compared.
     """
     shared = _shared(rows, points)
+    # sets of one fingerprint are a chain; of different ones the smallest stand for them
+    same = Window.partitionBy("print").orderBy("id")
+    chain = points.select("id", F.lag("id").over(same).alias("b")).filter("b is not null").select(F.col("id").alias("a"), "b")
+    least = points.groupBy("print").agg(F.min("id").alias("id"))
+    near = near_links(least.select("id", F.col("print").alias("fp"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     often = shared.filter(_near("", "_")).groupBy(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).agg(F.count("*").alias("n"))
     best = often.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).filter(F.col("k") <= FIRST)
-    first = _verified(rows, points, best.select("a", "b"))
-    roots = _few(materialize(components(first).select(F.col("node").alias("id"), "root"), "similar-roots"))
-    named = shared.select("shingle", "id", "size", "pos").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = _verified(rows, points, best.select("a", "b").unionByName(near).unionByName(chain).distinct())
+    found = components(first)
+    roots = materialize(found.select(F.col("node").alias("id"), "root"), "similar-roots")
+    named = shared.select("shingle", "id", "size", "pos").join(_few(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     every = Window.partitionBy("shingle")
     mixed = materialize(named.withColumn("lo", F.min("root").over(every)).withColumn("hi", F.max("root").over(every)).filter("lo != hi").drop("lo", "hi"), "similar-mixed")
     other = mixed.select("shingle", *(F.col(c).alias(f"_{c}") for c in ("id", "size", "pos", "root")))
     rest = mixed.join(other, "shingle").filter((F.col("id") > F.col("_id")) & (F.col("root") != F.col("_root"))).filter(_near("", "_"))
     more = _verified(rows, points, rest.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct())
+    drop_tables(rows.sparkSession, (shared, roots, mixed))
     return first.unionByName(more)
 
 
@@ -188,9 +240,10 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """
     rows = materialize(df.withColumn(f"{T}row", F.monotonically_increasing_id()), "similar-rows")  # fixes the numbers
     told = rows.select(f"{T}row", F.col(text).alias(f"{T}text"))
-    prints = _map(rows.select(F.struct(F.col(f"{T}row").alias("r"), F.col(key).cast("long").alias("k")).alias(f"{T}row"), F.col(text).alias(f"{T}text")), _print, "r bigint, k bigint, id bigint")
+    prints = _map(rows.select(F.struct(F.col(f"{T}row").alias("r"), F.col(key).cast("long").alias("k")).alias(f"{T}row"), F.col(text).alias(f"{T}text")), _print, "r bigint, k bigint, id bigint, print bigint, size int, sketch array<bigint>")
     first = F.min(F.struct(F.col("k").isNull().alias("n"), F.col("k").alias("k"), F.col("r").alias("r"))).alias("first")
-    points = materialize(prints.groupBy("id").agg(first), "similar-points")
+    # what else belongs to an id is equal in all its rows
+    points = materialize(prints.groupBy("id").agg(first, *(F.min(c).alias(c) for c in ("print", "size", "sketch"))), "similar-points")
     found = components(links(told, points)).select(F.col("node").alias("id"), "root")
     of = points.join(found, "id", "left").select("first", F.coalesce("root", "id").alias("root"))
     kept = materialize(of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.r").alias(f"{T}row")), "similar-kept")

@@ -81,6 +81,22 @@ def test_prefixes_of_similar_sets_meet():
             assert set(similar.prefix(a, known, known % 7)) & set(similar.prefix(b, known, known % 7))
 
 
+def test_sketches_never_reject_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 63, 64, 65, 200, 3000):
+        a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        b = np.unique(np.concatenate((a[rng.random(n) > 0.05], rng.integers(-(1 << 63), 1 << 63, n // 20))))
+        x, y = sorted((similar.sketch(a), similar.sketch(b)), key=len)
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_sketches_tell_unlike_sets_apart(spark, docs):
+    sets = {k: [f"common{k % 3}"] * 3 + [f"t{k}w{i}" for i in range(400)] for k in range(40)}
+    rows = docs([(k, " ".join(w)) for k, w in sets.items()])
+    assert similar.deduplicate(rows).count() == 40
+
+
 def test_odd_rows(docs):
     df = docs([(5, "Some  words here"), (3, "some words HERE"), (3, "some words here"), (8, "some words"), (None, "first text alone"), (None, "second differs"), (9, None), (10, ""), (11, " \n")])
     kept = similar.deduplicate(df)
