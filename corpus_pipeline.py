@@ -22,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group that five-word shingles with
-    a Jaccard similarity of 0.8 or more connect."""
+    a Jaccard similarity of 0.8 or more connect: SimHash candidates, completed and verified."""
     return similar.deduplicate(docs)
 
 
