@@ -26,9 +26,11 @@ from .simhash import links as near_links
 
 #: Words of a shingle.
 WIDTH = 5
-#: Sets from which frequent shingles are learned, and how many of these are remembered.
-#: They only order the shingles, so that prefixes hold rare ones; any order is exact.
-SAMPLE, FREQUENT = 8192, 1 << 18
+#: The share of all sets (one in so many, and so many at least) from which frequent shingles
+#: are learned, and how many of these are remembered. They only order the shingles, so that
+#: prefixes hold rare ones; any order is exact. A share and not a number, so that what stays
+#: unknown is as rare in a large table as in a small one.
+SHARE, SAMPLE, FREQUENT = 8, 8192, 1 << 19
 #: Neighbours of a set that are verified before all others are looked for.
 FIRST = 4
 #: Bits of a fingerprint up to which sets are first candidates.
@@ -121,12 +123,14 @@ def _print(row, text, state):
 
 def _frequent(rows: DataFrame, points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several sets of a sample hold, in order, and in how many."""
-    some = sampled(points.select(F.col("first.r").alias(f"{T}row"), "id"), points.count(), SAMPLE, "id").select(f"{T}row")
-    each = _map(rows.join(F.broadcast(some), f"{T}row", "left_semi"), lambda row, text, state: (shingles(text),), "shingle bigint")
+    total = points.count()
+    some = materialize(sampled(points.select(F.col("first.r").alias(f"{T}row"), "id"), total, max(SAMPLE, total // SHARE), "id").select(f"{T}row"), "similar-sample")
+    each = _map(rows.join(_few(some), f"{T}row", "left_semi"), lambda row, text, state: (shingles(text),), "shingle bigint")
     found = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     known, n = found.column("shingle").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(known)
-    return known[order], n[order]
+    drop_tables(rows.sparkSession, [some])
+    return known[order], n[order].astype(np.int32)
 
 
 def _near(a: str, b: str) -> Column:
