@@ -40,6 +40,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token_ids of each document, with digests of both directions."""
     ranks, pattern = queries.tokenizer()
     ids = bpe.encode(docs, ranks, pattern).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    # written first, so that a task needs one Python worker at a time
+    ids = materialize(ids, "token-ids")
     back = bpe.decode(ids, ranks, keep=("doc_id", "n_tokens", "token_ids"), packed=f"{T}packed")
     return back.select("doc_id", "n_tokens", "token_ids", F.sha2(f"{T}packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
