@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -63,8 +64,13 @@ def apply(operands: list, value: Callable[[list[Column], list[S.DataType]], tupl
             df, held = own, a.dims
             continue
         shared = [position(d) for d in a.dims if d in held]
-        side = F.broadcast(own) if a.size <= SMALL else own
-        df = df.join(side, shared) if shared else df.crossJoin(side)
+        left = math.prod(shape[dims.index(d)] for d in held)
+        # the smaller side goes to all executors if its number of cells allows
+        if a.size <= min(SMALL, max(left, 1)):
+            own = F.broadcast(own)
+        elif left <= SMALL:
+            df = F.broadcast(df)
+        df = df.join(own, shared) if shared else df.crossJoin(own)
         held = (*held, *(d for d in a.dims if d not in held))
     columns, left = [], iter(names)
     for x in operands:

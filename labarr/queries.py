@@ -383,16 +383,6 @@ def to_records(spark, sf_dir):
     return a.records(precision=1)
 
 
-@query("SELECT floor(min(s_acctbal) * 1e6 + 0.5) / 1e6 AS lat_min, floor(max(s_acctbal) * 1e6 + 0.5) / 1e6 AS lat_max, floor(min(c_acctbal) * 1e6 + 0.5) / 1e6 AS lon_min, floor(max(c_acctbal) * 1e6 + 0.5) / 1e6 AS lon_max FROM supplier, customer")
-def bounds(spark, sf_dir):
-    """Labels that stay in a table: least and largest by aggregation."""
-    out = None
-    for name, column, ends in (("supplier", "s_acctbal", ("lat_min", "lat_max")), ("customer", "c_acctbal", ("lon_min", "lon_max"))):
-        one = table(spark, sf_dir, name).agg(exprs.rounded(F.min(column), 6).alias(ends[0]), exprs.rounded(F.max(column), 6).alias(ends[1]))
-        out = one if out is None else out.crossJoin(one)
-    return out
-
-
 @query(f"SELECT 'hourly' AS type, 'hours' AS unit, (epoch(h2) - epoch(h1)) / 3600.0::DOUBLE AS value FROM (SELECT min(h) FILTER (i = 0) AS h1, min(h) FILTER (i = 1) AS h2 FROM ({_HOURS}))")
 def resolution(spark, sf_dir):
     a = hourly(spark, sf_dir)
@@ -442,12 +432,13 @@ def stream_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
     least, n = rows.agg(F.min("o_orderkey"), F.count("*")).first()
     a = DataArray.from_cells(rows.select((F.col("o_orderkey") - least).alias("__i_x"), F.col("o_totalprice").alias("value")), ["x"], [n])
-    out = None
-    for chunk in a.sel_stream({}, chunk_size=4096 * 8 / (1 << 20)):
-        start = chunk.data.original_index("x", 0)
-        one = chunk.data.cells.agg((F.min("__i_x") + start).alias("first"), (F.max("__i_x") + start).alias("last"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).withColumn("chunk", F.lit(chunk.chunk_index))
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = [(c.data.original_index("x", 0), c.chunk_index, c.data.size) for c in a.sel_stream({}, chunk_size=4096 * 8 / (1 << 20))]
+    # the chunks' own plans are tested; here each row is told its chunk and all are grouped once
+    size = parts[0][2]
+    chunk = F.call_function("div", F.col("__i_x"), F.lit(size)).cast("int")
+    known = spark.createDataFrame([(k, start, size) for start, k, size in parts], "chunk int, start long, size long")
+    rows = a.cells.withColumn("chunk", chunk).groupBy("chunk").agg(F.min("__i_x").alias("first"), F.max("__i_x").alias("last"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return rows.join(F.broadcast(known), "chunk").filter("first >= start and last < start + size").select("first", "last", "n", "total", "chunk")
 
 
 @query("SELECT vec_id, len(embedding)::INT AS n, 2 AS grid_rows, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, embedding[4] AS d, true AS same FROM embeddings")
@@ -475,7 +466,11 @@ def _stored(spark, sf_dir) -> Dataset:
     from .sources.zarr import open_zarr, write_zarr
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or ""
-    folder = tempfile.mkdtemp(prefix="cube-", dir=shared.removeprefix("file:") if shared.startswith(("file:", "/")) else None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if shared and not shared.startswith(("file:", "/")):
+        raise ValueError("Zarr is written to folders that are mounted; spark.checkpoint.dir names none")
+    folder = tempfile.mkdtemp(prefix="cube-", dir=shared.removeprefix("file://").removeprefix("file:") or None)
     write_zarr(cube(spark, sf_dir)["quantity"], f"{folder}/quantity", (16, 3, 1), [{"name": "gzip", "configuration": {"level": 5}}])
     return open_zarr(spark, DirectoryStore(folder))
 
@@ -490,14 +485,6 @@ def zarr_pruned(spark, sf_dir):
     return _cells(_stored(spark, sf_dir)["quantity"].isel({"month": slice(20, 41), "flag": 1}), "i", "k")
 
 
-@query("SELECT l_orderkey, l_linenumber, ((l_orderkey % 100) * 8 + l_linenumber) // 6 AS shard, ((l_orderkey % 100) * 8 + l_linenumber) % 6 AS slot FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
-def shard_locate(spark, sf_dir):
-    """Shard and slot of chunk (orderkey mod 100, linenumber) of a 100 x 8 grid, 6 chunks a shard."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    at = F.col("l_orderkey") % 100 * 8 + F.col("l_linenumber")
-    return rows.select("l_orderkey", "l_linenumber", F.floor(at / 6).alias("shard"), (at % 6).alias("slot"))
-
-
 def _asof(spark, sf_dir, method: str, tolerance: float | None = None, by: bool = False) -> DataFrame:
     """Views looked up among purchases, by time (of the same user)."""
     from .operators.asof import asof_join
@@ -559,3 +546,6 @@ def weekly_purchases(spark, sf_dir):
     """The flagship: table to array, selection, rolling mean, records."""
     a = daily(spark, sf_dir).sel({"event_type": "purchase"}).rolling("day", 7).mean()
     return _records(a).withColumn("value", F.round("value", 4))
+
+
+from . import queries_more  # noqa: E402, F401  (adds its queries)

@@ -40,9 +40,11 @@ def http(method: str, url: str, headers: dict[str, str], body: bytes | None) ->
 
 
 class Gateway(Blocks):
-    """Parallelism comes from Spark tasks, each with one request at a time."""
+    """Parallelism comes from Spark tasks, each with one request at a time; scans through a
+    gateway have no more than ``parallel`` tasks."""
 
-    def __init__(self, gateway: str, rpc: str = "http://127.0.0.1:5001", headers: dict[str, str] | None = None, retries: int = 3, delay: float = 1.0, factor: float = 2.0, fetch: Callable = http, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, gateway: str, rpc: str = "http://127.0.0.1:5001", headers: dict[str, str] | None = None, retries: int = 3, delay: float = 1.0, factor: float = 2.0, fetch: Callable = http, sleep: Callable[[float], None] = time.sleep, parallel: int = 32):
+        self.parallel = parallel
         base = gateway.rstrip("/")
         self.gateway = base + "/" if base.endswith("/ipfs") else base + "/ipfs/"
         self.rpc, self.headers = rpc.rstrip("/"), headers or {}

@@ -12,6 +12,9 @@ from collections.abc import Callable
 import json
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from . import cbor
 from .blake3 import blake3
 from .cbor import Link
@@ -20,6 +23,11 @@ from .cbor import Link
 class ZarrStore(ABC):
     """``get`` gives None for a key that is not there; any failure raises."""
 
+    @property
+    def parallel(self) -> int | None:
+        """How many tasks may ask at once, where that is limited."""
+        return getattr(getattr(self, "blocks", None), "parallel", None) or getattr(getattr(self, "store", None), "parallel", None)
+
     @abstractmethod
     def get(self, key: str) -> bytes | None: ...
 
@@ -160,6 +168,13 @@ class ShardIndex:
             i = i * n + x
         return divmod(i, self.per_shard)
 
+    def locate_columns(self, at: list[Column]) -> tuple[Column, Column]:
+        """``locate`` of columns of coordinates."""
+        i = F.lit(0).cast("long")
+        for x, n in zip(at, self.grid, strict=True):
+            i = i * n + x
+        return F.floor(i / self.per_shard), i % self.per_shard
+
 
 class ShardedStore(ZarrStore):
     """Chunks behind a manifest that lists shards, each a list of links to chunks."""
@@ -349,6 +364,24 @@ class HamtStore(ZarrStore):
         return ["zarr.json", *(f"{n.strip('/')}/zarr.json" for n in inner if n.strip("/"))]
 
 
+def write_trie(blocks: MemoryBlocks, items: dict[str, bytes], digest: Callable[[bytes], bytes] = blake3, most: int = 4) -> str:
+    """Put items into ``blocks`` as a hash trie with buckets of up to ``most`` keys; the
+    identifier of its root."""
+
+    def node(part: dict[str, bytes], depth: int) -> Link:
+        made, by = HamtNode(), {}
+        for key, value in part.items():
+            by.setdefault(extract_bits(digest(key.encode()), depth, 8), {})[key] = value
+        for place, held in by.items():
+            made.data[place] = [node(held, depth + 1)] if len(held) > most else held
+        data = made.serialize()
+        link = Link(b"\x01\x71" + digest(data))
+        blocks.blocks[str(link)] = data
+        return link
+
+    return str(node({k.lstrip("/"): v for k, v in items.items()}, 0))
+
+
 def read_manifest(data: bytes) -> dict | None:
     """A shard manifest in CBOR or JSON; None if the data is none."""
     for read in (cbor.decode, json.loads):

@@ -135,8 +135,8 @@ class ZarrSource(Source):
                         cols = [pa.array(w + s.start, pa.int64()) for w, s in zip(where, spot, strict=True)]
                         yield pa.RecordBatch.from_arrays([*cols, _values(part, dtype)], names=names)
 
-        # a task for each chunk, up to a bound on tasks
-        work = self.spark.range(0, total, 1, max(1, min(total, 20_000)))
+        # a task for each chunk, up to a bound on tasks and on requests that a store takes at once
+        work = self.spark.range(0, total, 1, max(1, min(total, reader.store.parallel or 20_000)))
         return work.mapInArrow(run, schema)
 
 
@@ -188,7 +188,7 @@ def open_zarr(spark: SparkSession, store: ZarrStore, group: str | None = None, s
     """
     keys = store.list_metadata_keys()
     if not keys:
-        raise ValueError("unable to discover any metadata keys; the store must list them")
+        raise ValueError("could not discover metadata: the store lists no keys")
     asked = (group or "").strip("/")
     nodes = [k for k in keys if k.endswith("zarr.json")]
     if not nodes or (asked and not any(_under(_folder(k), asked) for k in nodes)):

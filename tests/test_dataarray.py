@@ -248,11 +248,22 @@ def test_rolling_over_blocks(spark, monkeypatch):
         got = a.rolling("x", window, center=center, min_periods=1).sum().data()
         after = window - 1 - (window - 1) // 2 if center else 0
         assert got == [float(sum(range(max(0, i - (window - 1 - after)), min(500, i + after + 1)))) for i in range(500)]
-    monkeypatch.setattr(rolling, "RUNNING", 5)
     wild = a.where(a.ne(100), math.inf).rolling("x", 10).sum().data()
     assert wild[99] == sum(range(90, 100)) and all(math.isinf(v) for v in wild[100:110]) and wild[110] == sum(range(101, 111))
 
 
+def test_long_windows_know_only_their_own_cells(make):
+    a = make([1e16] + [1.0] * 399, ["x"])
+    for window in (127, 128, 200):
+        assert a.rolling("x", window).sum().data()[300] == window
+
+
+def test_rolling_where_cells_have_no_row(spark):
+    cells = spark.createDataFrame([(0, 1.0), (1, 2.0), (5, 3.0), (6, 4.0)], "__i_x long, value double")
+    got = DataArray.from_cells(cells, ["x"], [8]).rolling("x", 3, min_periods=1).sum().cells.collect()
+    assert sorted(map(tuple, got)) == [(0, 1.0), (1, 3.0), (5, 3.0), (6, 7.0)]
+
+
 def test_sinks(make):
     a = make([[1.23456789, None], [NAN, -9.87654321]], ["lat", "lon"], {"lat": [10.123456789, 20.987654321], "lon": [-70.123456789, -60.987654321]})
     for p, lats in ((6, [10.123457, 20.987654]), (2, [10.12, 20.99]), (0, [10, 21])):
