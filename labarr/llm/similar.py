@@ -30,7 +30,7 @@ WIDTH = 5
 #: are learned, and how many of these are remembered. They only order the shingles, so that
 #: prefixes hold rare ones; any order is exact. A share and not a number, so that what stays
 #: unknown is as rare in a large table as in a small one.
-SHARE, SAMPLE, FREQUENT = 8, 8192, 1 << 19
+SHARE, SAMPLE, FREQUENT = 4, 1024, 1 << 19
 #: Neighbours of a set that are verified before all others are looked for.
 FIRST = 4
 #: Bits of a fingerprint up to which sets are first candidates.
