@@ -31,7 +31,8 @@ WIDTH = 5
 #: prefixes hold rare ones; any order is exact. A share and not a number, so that what stays
 #: unknown is as rare in a large table as in a small one.
 SHARE, SAMPLE, FREQUENT = 4, 1024, 1 << 19
-#: Neighbours of a set that are verified before all others are looked for.
+#: Neighbours of a set, and central sets that it meets, that are verified before all others
+#: are looked for.
 FIRST = 4
 #: Bits of a fingerprint up to which sets are first candidates.
 NEAR = 3
@@ -142,8 +143,8 @@ def _near(a: str, b: str) -> Column:
 
 
 def _shared(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """shingle, id, size, pos of what stands in the prefixes of several distinct sets, and
-    the same (_id, _size, _pos) of the next smaller set there."""
+    """shingle, id, size, pos of what stands in the prefixes of several distinct sets, the
+    same (_id, _size, _pos) of the next smaller set there, and in how many sets it stands."""
     order = rows.sparkSession.sparkContext.broadcast(_frequent(rows, points))
 
     def make(row, text, seen):
@@ -161,10 +162,25 @@ def _shared(rows: DataFrame, points: DataFrame) -> DataFrame:
     # one shuffle serves the distinct rows and the windows
     dealt = each.repartition("shingle").dropDuplicates(["shingle", "id"])
     by = Window.partitionBy("shingle").orderBy("size", "id")
-    beside = dealt.select("*", *(F.lag(c).over(by).alias(f"_{c}") for c in ("id", "size", "pos")), F.lead("id").over(by).alias("after"))
+    beside = dealt.select("*", *(F.lag(c).over(by).alias(f"_{c}") for c in ("id", "size", "pos")), F.lead("id").over(by).alias("after"), F.count("*").over(Window.partitionBy("shingle")).alias("n"))
     return materialize(beside.filter(F.coalesce("_id", "after").isNotNull()).drop("after"), "similar-shared")
 
 
+def _scores(shared: DataFrame) -> DataFrame:
+    """id and how much its prefix is shared: the mean number of sets of a shingle."""
+    return shared.groupBy("id", "size").agg((F.sum("n") / (F.floor(F.col("size") / 5) + 1)).alias("score")).select("id", "score")
+
+
+def _central(shared: DataFrame, scores: DataFrame) -> DataFrame:
+    """id, size, pos of each row of ``shared``, and the same (_id, _size, _pos) of the set
+    there whose prefix is shared most: what a group of near copies has in common is whole in
+    its centre, so that copies which are not similar to each other are similar to it."""
+    place = ("id", "size", "pos")
+    scored = shared.join(_few(scores), "id")
+    most = scored.groupBy("shingle").agg(F.max(F.struct("score", *place)).alias("most")).select("shingle", *(F.col(f"most.{c}").alias(f"_{c}") for c in place))
+    return shared.select("shingle", *place).join(most, "shingle").filter("id != _id").drop("shingle")
+
+
 def _few(df: DataFrame) -> DataFrame:
     """``df``, a written table of few bytes a row, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= MOST else df
@@ -208,7 +224,8 @@ def _verified(rows: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame
 def links(rows: DataFrame, points: DataFrame) -> DataFrame:
     """Edges (a, b) that connect whatever sets of similarity 4/5 or more connect.
 
-    Candidates of near fingerprints and a few neighbours of each set are verified first.
+    Candidates of near fingerprints, a few neighbours of each set and a few central sets
+    that it meets are verified first.
     Pairs that these links connect need no more comparison, so a large group of similar
     texts never costs all its pairs; all others that share a shingle of their prefixes are
     compared.
@@ -219,9 +236,12 @@ def links(rows: DataFrame, points: DataFrame) -> DataFrame:
     chain = points.select("id", F.lag("id").over(same).alias("b")).filter("b is not null").select(F.col("id").alias("a"), "b")
     least = points.groupBy("print").agg(F.min("id").alias("id"))
     near = near_links(least.select("id", F.col("print").alias("fp"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    often = shared.filter(_near("", "_")).groupBy(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).agg(F.count("*").alias("n"))
-    best = often.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).filter(F.col("k") <= FIRST)
-    first = _verified(rows, points, best.select("a", "b").unionByName(near).unionByName(chain).distinct())
+    scores = materialize(_scores(shared), "similar-scores")
+    beside, central = shared.select("id", "size", "pos", "_id", "_size", "_pos"), _central(shared, scores)
+    often = beside.withColumn("kind", F.lit(0)).unionByName(central.withColumn("kind", F.lit(1))).filter(_near("", "_")).groupBy("kind", "id", "_id").agg(F.count("*").alias("n"))
+    best = often.withColumn("k", F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("n"), "_id"))).filter(F.col("k") <= FIRST)
+    best = best.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"))
+    first = _verified(rows, points, best.unionByName(near).unionByName(chain).distinct())
     found = components(first)
     roots = materialize(found.select(F.col("node").alias("id"), "root"), "similar-roots")
     named = shared.select("shingle", "id", "size", "pos").join(_few(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -230,7 +250,7 @@ def links(rows: DataFrame, points: DataFrame) -> DataFrame:
     other = mixed.select("shingle", *(F.col(c).alias(f"_{c}") for c in ("id", "size", "pos", "root")))
     rest = mixed.join(other, "shingle").filter((F.col("id") > F.col("_id")) & (F.col("root") != F.col("_root"))).filter(_near("", "_"))
     more = _verified(rows, points, rest.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct())
-    drop_tables(rows.sparkSession, (shared, roots, mixed))
+    drop_tables(rows.sparkSession, (shared, scores, roots, mixed))
     return first.unionByName(more)
 
 

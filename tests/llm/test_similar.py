@@ -103,3 +103,23 @@ def test_odd_rows(docs):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect() if r["doc_id"] != 9) == [(-1, "first text alone"), (-1, "second differs"), (3, "some words HERE"), (8, "some words")]
     assert similar.deduplicate(df.limit(0)).collect() == []
+
+
+def test_copies_meet_through_their_centre(spark, docs, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for k in range(150):  # similar to the first, not to each other
+        words = list(base)
+        for at in (rng.randrange(10, 55), rng.randrange(65, 110)):
+            words[at] = f"e{k}"
+        texts.append(" ".join(words))
+    left, verified = [], similar._verified
+
+    def counted(rows, points, pairs):
+        left.append(pairs.count())
+        return verified(rows, points, pairs)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    assert [r["doc_id"] for r in similar.deduplicate(docs(list(enumerate(texts)))).collect()] == [0]
+    assert left[1] == 0  # no pair of copies needs comparison
