@@ -32,8 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Bytes of rows that go to a Python worker at once, unless the session says otherwise.
-BATCH_BYTES = 4 << 20
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise. The
+#: buffers of such a batch, which double as they fill, stay well below the 4 MiB that the
+#: JVM's allocator keeps and hands out again; larger ones are taken from the system each
+#: time, and what these leave in fragments counts against an executor's memory.
+BATCH_BYTES = 1 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
